@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from . import decontaminate, langid, nearsets, toxicity
+from . import decontaminate, langid, licenses, mixing, nearsets, toxicity, urls
 
 QUERIES = {
+    "op1_mix": mixing.op1_mix,
     "op2_toxicity": toxicity.op2_toxicity,
     "op3_near_dedup": nearsets.op3_near_dedup,
+    "op5_licenses": licenses.op5_licenses,
     "op6_language_id": langid.op6_language_id,
+    "op8_url_filter": urls.op8_url_filter,
     "op9_decontaminate": decontaminate.op9_decontaminate,
 }
 
 SQL = {
     "op3_near_dedup": nearsets.SQL,
+    "op5_licenses": licenses.SQL,
     "op9_decontaminate": decontaminate.SQL,
 }
