@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, langid, licenses, mixing, nearsets, toxicity, urls
+from . import decontaminate, fingerprints, langid, licenses, mixing, nearsets, secrets, toxicity, urls
 
 QUERIES = {
     "op1_mix": mixing.op1_mix,
@@ -10,12 +10,15 @@ QUERIES = {
     "op3_near_dedup": nearsets.op3_near_dedup,
     "op5_licenses": licenses.op5_licenses,
     "op6_language_id": langid.op6_language_id,
+    "op7_secrets": secrets.op7_secrets,
     "op8_url_filter": urls.op8_url_filter,
     "op9_decontaminate": decontaminate.op9_decontaminate,
+    "op10_fingerprint": fingerprints.op10_fingerprint,
 }
 
 SQL = {
     "op3_near_dedup": nearsets.SQL,
     "op5_licenses": licenses.SQL,
+    "op7_secrets": secrets.SQL,
     "op9_decontaminate": decontaminate.SQL,
 }
