@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .langid import held_out
 
 DIM = 1 << 20
-ROWS = 12_000
+ROWS = 8_000
 WORDS = re.compile(r"[^\W_]+")
 THRESHOLD = 0.3
 
@@ -95,13 +95,10 @@ class Model:
 
 
 class Sparse:
-    """Rows of column numbers with signs, without SciPy."""
+    """Rows of column numbers, with signs where given, without SciPy."""
 
-    def __init__(self, rows: list[np.ndarray], values: list[np.ndarray] | None = None):
-        self.at = np.concatenate(rows) if rows else np.zeros(0, dtype=np.int64)
-        self.row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-        self.v = np.concatenate(values) if values else None
-        self.n = len(rows)
+    def __init__(self, at: np.ndarray, row: np.ndarray, n: int, v: np.ndarray | None = None):
+        self.at, self.row, self.n, self.v = at, row, n, v
 
     def dot(self, w: np.ndarray) -> np.ndarray:
         x = w[self.at] if self.v is None else w[self.at] * self.v
@@ -112,24 +109,27 @@ class Sparse:
         return np.bincount(self.at, weights=x, minlength=dim)
 
 
-def fit(rows: list[np.ndarray], target: np.ndarray, pairs: list[tuple[list[int], list[int]]], l1: float = 1e-4, swap: float = 1.0, steps: int = 250) -> Model:
-    """Accelerated proximal gradient descent on the logistic loss, the swap penalty and L1."""
-    n, hits = len(rows), float(target.sum())
+def fit(values: np.ndarray, sizes: np.ndarray, target: np.ndarray, pairs: list[tuple[list[int], list[int]]], l1: float = 1e-4, swap: float = 1.0, steps: int = 250) -> Model:
+    """Accelerated proximal gradient descent on the logistic loss, the swap penalty and L1.
+
+    values: the features of all rows, one row after the other; sizes: how many each row has.
+    """
+    n, hits = len(sizes), float(target.sum())
     if n == 0 or hits in (0.0, float(n)):
         share = (hits + 1) / (n + 2) if n else 0.0
         return Model({}, float(np.log(share / (1 - share))) if n else -40.0)
-    ids, counts = np.unique(np.concatenate([*rows, *[np.array(a + b, dtype=np.int64) for a, b in pairs]]), return_counts=True)
-    ids = ids[counts >= 2] if n >= 50 else ids
-    place = np.full(DIM, -1, dtype=np.int64)
+    swapped = np.array([f for a, b in pairs for f in a + b], dtype=np.int64)
+    seen = np.bincount(values, minlength=DIM)
+    seen[swapped] += 2
+    ids = np.flatnonzero(seen >= (2 if n >= 50 else 1))
+    place = np.full(DIM, -1, dtype=np.int32)
     place[ids] = np.arange(len(ids))
-
-    def kept(a) -> np.ndarray:
-        a = place[np.asarray(a, dtype=np.int64)]
-        return a[a >= 0]
-
-    x = Sparse([kept(r) for r in rows])
-    taken = [(kept(a), kept(b)) for a, b in pairs]
-    d = Sparse([np.concatenate([a, b]) for a, b in taken], [np.concatenate([np.ones(len(a)), -np.ones(len(b))]) for a, b in taken])
+    at = place[values]
+    row = np.repeat(np.arange(n, dtype=np.int32), sizes)[at >= 0]
+    x = Sparse(at[at >= 0], row, n)
+    del at, seen
+    signs = np.array([s for a, b in pairs for s in [1.0] * len(a) + [-1.0] * len(b)])
+    d = Sparse(place[swapped], np.repeat(np.arange(len(pairs)), [len(a) + len(b) for a, b in pairs]).astype(np.int64), len(pairs), signs)
     dim, m = len(ids), max(1, len(pairs))
     scale = 1 / np.sqrt(np.maximum(1.0, np.bincount(x.at, minlength=dim) / n * 40))  # frequent features take smaller steps
     w, b = np.zeros(dim), float(np.log(hits / (n - hits)))
@@ -187,9 +187,16 @@ def learn(labelled: DataFrame, rows: int = ROWS, l1: float = 1e-4, swap: float =
 
     chosen = labelled.where(F.pmod(F.xxhash64("id"), F.lit(1_000_003)) < part * 1_000_003)
     got = chosen.select("text", F.col("label").cast("long").alias("label"), F.xxhash64("id", F.lit(1)).alias("o")).mapInPandas(features, "o long, label long, f array<int>, a array<array<int>>, b array<array<int>>")
-    data = got.toPandas().sort_values(["o", "label"], kind="stable")
-    pairs = [([int(i) for i in a], [int(i) for i in b]) for x, y in zip(data["a"], data["b"], strict=True) for a, b in zip(x, y, strict=True)]
-    return fit([np.asarray(f, dtype=np.int64) for f in data["f"]], (data["label"].to_numpy() > 0).astype(float), pairs, l1, swap)
+    # As Arrow: lists of Python numbers would fill the driver.
+    data = got.toArrow().combine_chunks()
+    lists = data["f"].chunk(0) if data.num_rows else None
+    bounds, flat = (lists.offsets.to_numpy(), lists.values.to_numpy()) if data.num_rows else (np.zeros(1, int), np.zeros(0, np.int32))
+    target, o = data["label"].to_numpy(), data["o"].to_numpy()
+    order = np.lexsort((np.diff(bounds), target, o))
+    pairs = [pair for i in order if (a := data["a"][int(i)].as_py()) for pair in zip(a, data["b"][int(i)].as_py(), strict=True)]
+    values = np.concatenate([flat[bounds[i] : bounds[i + 1]] for i in order]) if len(order) else flat
+    del data, lists, flat
+    return fit(values, np.diff(bounds)[order], (target[order] > 0).astype(float), pairs, l1, swap)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
