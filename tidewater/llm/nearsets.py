@@ -5,7 +5,9 @@ samples; bands of them form buckets, and the samples fold into a parity bitmap,
 estimates the similarity of the two. Candidates are formed without listing the pairs of a bucket:
 
 1. each member of a bucket is paired with the bucket's smallest and largest class; pairs whose odd sketches rule out the
-   threshold fall, the rest are confirmed on full sets, and the confirmed links are joined into components;
+   threshold fall, the rest are confirmed on full sets, and the confirmed links are joined into components. A second
+   parity bitmap takes the whole set as its sample: the XOR's population count is at most the size of the symmetric
+   difference, so for sets that do not fill the bitmap it rules pairs out without error;
 2. a bucket of more than three classes that now lies in one component can add nothing. The classes of the others are
    joined exactly: shingles are ordered by their frequency among those classes, and classes of different components
    that share a shingle of their necessary prefixes become candidates, filtered by length, position and odd sketch.
@@ -81,8 +83,15 @@ def shingle_set(text: str | None, width: int, hashes: WordHashes) -> np.ndarray:
     return np.unique(s)
 
 
+def odd_sketch(owner: np.ndarray, hashes: np.ndarray, n: int) -> np.ndarray:
+    """Parity bitmaps (n x BITS / 64) of hashes by the number of their owner."""
+    place = (hashes >> np.uint64(64 - int(math.log2(BITS)))).astype(np.int64)
+    parity = np.bincount(owner * BITS + place, minlength=n * BITS).astype(np.uint8) & 1
+    return np.packbits(parity.reshape(n, BITS), axis=1).view(np.int64)
+
+
 def signatures(sets: list[np.ndarray], rows: int, bands: int, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Band keys (sets x bands) and odd sketches (sets x BITS / 64) of non-empty sets."""
+    """Band keys (sets x bands) of non-empty sets, and the odd sketches of their samples and of themselves."""
     starts = np.cumsum([0, *[len(s) for s in sets[:-1]]])
     flat = np.concatenate(sets)
     low = np.empty((rows * bands, len(sets)), dtype=np.uint64)
@@ -94,9 +103,11 @@ def signatures(sets: list[np.ndarray], rows: int, bands: int, seeds: np.ndarray)
         for r in range(rows):
             k = mixed(k + low[b * rows + r])
         keys[b] = k
-    place = (mixed(low + np.arange(1, rows * bands + 1, dtype=np.uint64)[:, None] * MIX2) >> np.uint64(64 - int(math.log2(BITS)))).astype(np.int64)
-    parity = np.bincount((place + np.arange(len(sets)) * BITS).ravel(), minlength=len(sets) * BITS).astype(np.uint8) & 1
-    return keys.T.view(np.int64) if keys.flags.f_contiguous else np.ascontiguousarray(keys.T).view(np.int64), np.packbits(parity.reshape(len(sets), BITS), axis=1).view(np.int64)
+    owner = np.arange(len(sets))
+    sampled = mixed(low + np.arange(1, rows * bands + 1, dtype=np.uint64)[:, None] * MIX2).ravel()
+    odd = odd_sketch(np.tile(owner, rows * bands), sampled, len(sets))
+    whole = odd_sketch(np.repeat(owner, [len(s) for s in sets]), mixed(flat), len(sets))
+    return np.ascontiguousarray(keys.T).view(np.int64), np.concatenate([odd, whole], axis=1)
 
 
 def identity(s: np.ndarray) -> int:
@@ -112,19 +123,23 @@ def sketched(docs: DataFrame, width: int, rows: int, bands: int) -> DataFrame:
         hashes = WordHashes()
         for frame in frames:
             held: list[tuple[int, np.ndarray]] = []
+            size = 0
             ids, texts = frame["id"].tolist(), frame["text"].tolist()
             for i, t in enumerate(texts):
                 held.append((i, shingle_set(t, width, hashes)))
-                if sum(len(s) for _, s in held[-1:]) + sum(len(s) for _, s in held[:-1]) >= CHUNK or i + 1 == len(texts):
+                size += len(held[-1][1])
+                if size >= CHUNK or i + 1 == len(texts):
                     full = [s for _, s in held if len(s)]
-                    keys, odd = signatures(full, rows, bands, seeds) if full else (np.zeros((0, bands)), np.zeros((0, BITS // 64)))
+                    keys, odd = signatures(full, rows, bands, seeds) if full else (np.zeros((0, bands)), np.zeros((0, BITS // 32)))
                     at = iter(range(len(full)))
                     out = []
                     for k, s in held:
                         j = next(at) if len(s) else None
                         out.append((ids[k], len(s), None if j is None else identity(s), None if j is None else keys[j].tolist(), None if j is None else odd[j].tolist()))
-                    yield pd.DataFrame(out, columns=["id", "n", "nid", "bands", "sketch"]).astype({"nid": "Int64", "n": "int64"})
-                    held = []
+                    # Each column by its type: through a float, a null beside it would cost a class its last digits.
+                    i, n, nid, bk, sk = zip(*out, strict=True)
+                    yield pd.DataFrame({"id": i, "n": n, "nid": pd.array(nid, dtype="Int64"), "bands": bk, "sketch": sk})
+                    held, size = [], 0
 
     return docs.mapInPandas(sketch, "id string, n long, nid long, bands array<long>, sketch array<long>")
 
@@ -142,9 +157,15 @@ def full_sets(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInPandas(sets, "nid long, set array<long>").dropDuplicates(["nid"])
 
 
-def parity(a: str, b: str) -> Column:
-    """The XOR population count of two odd sketches."""
-    return sum((F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(BITS // 64)), F.lit(0))
+def may_be_similar(a: str, b: str, na: str, nb: str, num: int, den: int, most: int) -> Column:
+    """What sizes and odd sketches allow."""
+
+    def parity(first: int) -> Column:
+        return sum((F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(first, first + BITS // 64)), F.lit(0))
+
+    sizes = F.least(na, nb) * den >= F.greatest(na, nb) * num
+    apart = parity(BITS // 64) * (den + num) <= (F.col(na) + F.col(nb)) * (den - num)
+    return sizes & apart & (parity(0) <= most)
 
 
 def similar(inter: Column, na: Column, nb: Column, num: int, den: int) -> Column:
@@ -177,7 +198,7 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wid
     pairs = member.select("nid", F.explode(F.array("lo", "hi")).alias("o")).where("nid <> o").select(F.least("nid", "o").alias("a"), F.greatest("nid", "o").alias("b")).distinct()
     a = classes.select(F.col("nid").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("ka"))
     b = classes.select(F.col("nid").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("kb"))
-    fits = (F.least("na", "nb") * den >= F.greatest("na", "nb") * num) & (parity("ka", "kb") <= most)
+    fits = may_be_similar("ka", "kb", "na", "nb", num, den, most)
     pairs = cut(pairs.join(a, "a").join(b, "b").where(fits).select("a", "b"))
 
     def sets_of(nodes: DataFrame) -> DataFrame:
@@ -217,7 +238,7 @@ def prefix_pairs(rest: DataFrame, classes: DataFrame, sets: DataFrame, num: int,
     prefix = prefix.join(mixed_t, "t", "left_semi")
     side = lambda x: prefix.select("t", *[F.col(c).alias(f"{c}_{x}") for c in ("nid", "n", "p", "root", "sketch")])
     room = (1 + F.least(F.col("n_a") - F.col("p_a"), F.col("n_b") - F.col("p_b")) - 1) * (den + num) >= (F.col("n_a") + F.col("n_b")) * num
-    fits = (F.least("n_a", "n_b") * den >= F.greatest("n_a", "n_b") * num) & room & (parity("sketch_a", "sketch_b") <= most)
+    fits = room & may_be_similar("sketch_a", "sketch_b", "n_a", "n_b", num, den, most)
     both = side("a").join(side("b"), "t").where((F.col("nid_a") < F.col("nid_b")) & (F.col("root_a") != F.col("root_b")) & fits)
     return both.select(F.col("nid_a").alias("a"), F.col("nid_b").alias("b")).distinct()
 
