@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -23,8 +24,7 @@ def ingest_stream(batches: DataFrame, store: str, checkpoint: str) -> StreamingQ
         schema = "series string, valid timestamp_ntz, known timestamp_ntz, revision long, value double"
         try:
             old = spark.read.schema(schema).parquet(store)
-            old.limit(1).count()
-        except Exception:  # the store does not exist before the first batch
+        except AnalysisException:  # the store does not exist before the first batch
             old = spark.createDataFrame([], schema)
         ingest(old, batch).write.mode("append").parquet(store)
 
