@@ -84,17 +84,24 @@ def block_keys(sim: Column, blocks: int, taken: int) -> Column:
 
 def occurrences(docs: DataFrame, min_words: int) -> DataFrame:
     """Of (id, text): id, th, place and class (line, line2, sim, len) of every line that takes part."""
-    lines = docs.select("id", F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n", -1)).alias("place", "line"))
-    lines = lines.select("id", "th", F.col("place").cast("long").alias("place"), normalised(F.col("line")).alias("norm")).where(F.length("norm") >= 2 * min_words - 1)
-    lines = lines.withColumn("words", F.split("norm", " ")).where(F.size("words") >= min_words)
-    lines = lines.select("id", "th", "place", F.xxhash64("norm").alias("line"), F.xxhash64("norm", F.lit(1)).alias("line2"), F.size("words").cast("long").alias("len"), F.array_distinct("words").alias("words"))
+
+    def parts(docs: DataFrame) -> DataFrame:
+        # Normalised inside the array, before it is exploded: filters on the parts then find them made, and no
+        # expression is worked out twice.
+        norm = F.transform(F.split("text", "\n", -1), normalised)
+        both = F.transform(norm, lambda n: F.struct(n.alias("norm"), F.split(n, " ").alias("words")))
+        lines = docs.select("id", F.xxhash64("text").alias("th"), F.posexplode(both).alias("place", "x")).where((F.size("x.words") >= min_words) & (F.length("x.norm") > 0))
+        return lines.select("id", "th", F.col("place").cast("long").alias("place"), F.xxhash64("x.norm").alias("line"), F.xxhash64("x.norm", F.lit(1)).alias("line2"), F.size("x.words").cast("long").alias("len"), F.array_distinct("x.words").alias("words"))
+
     kept = ["id", "th", "place", "line", "line2", "len"]
     # The words of a line meet in its own task, where the partial sums make one row of them.
-    short = lines.where(F.size("words") < LANES).withColumn("row", F.monotonically_increasing_id())
+    short = parts(docs).where(F.size("words") < LANES).withColumn("row", F.monotonically_increasing_id())
     word = short.select("row", *kept, F.explode("words").alias("w")).withColumn("h", F.xxhash64("w"))
     counted = word.groupBy("row").agg(*[F.first(c).alias(c) for c in kept], F.count("*").alias("n"), *[F.sum(x).alias(f"c{j}") for j, x in enumerate(lane_counts(F.col("h")))])
     out = counted.select(*kept, majority([F.col(f"c{j}") for j in range(LANE)], F.col("n")).alias("sim"))
-    return out.unionByName(lines.where(F.size("words") >= LANES).select(*kept, long_simhash(F.col("words")).alias("sim")))
+    # Only a text of so many characters can have a line of LANES words.
+    giant = parts(docs.where(F.length("text") >= 2 * LANES - 1))
+    return out.unionByName(giant.where(F.size("words") >= LANES).select(*kept, long_simhash(F.col("words")).alias("sim")))
 
 
 def keyed(classes: DataFrame, blocks: int, taken: int) -> DataFrame:
