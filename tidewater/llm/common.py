@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+import math
 import tempfile
 from collections.abc import Iterable, Iterator
 
@@ -34,9 +36,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The same rows, computed once and kept in the shared checkpoint folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """The same rows, computed once and kept in the shared checkpoint folder.
+
+    What led there is then released: shuffle files stay on the executors' disks until the driver collects the plans that
+    refer to them, so a job of many steps would otherwise hold the files of them all.
+    """
+    spark = df.sparkSession
+    shared_dir(spark)
+    out = df.checkpoint(eager=True)
+    del df
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return out
 
 
 def chunks(texts: Iterable[str | None], limit: int) -> Iterator[tuple[int, int]]:
@@ -52,22 +63,23 @@ def chunks(texts: Iterable[str | None], limit: int) -> Iterator[tuple[int, int]]
         yield start, n
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, max_rounds: int = 60, rows: int = 50_000) -> DataFrame:
     """Connected components of edges (a, b) by alternating large and small stars.
 
     Returns (node, root) for every node with an edge, root being the smallest node of its component. Each round
-    aggregates before it joins, so that a node with very many neighbours needs no task of its own.
+    aggregates before it joins, so that a node with very many neighbours needs no task of its own. Rounds get a task for
+    each `rows` edges, as a small graph would otherwise spread over as many files as tasks.
     """
     pairs = edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     pairs = cut(pairs)
-    seen = None
+    tasks, seen = max(1, math.ceil(pairs.count() / rows)), None
     for _ in range(max_rounds):
         both = pairs.select("u", "v").unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, F.col("u") == F.col("k")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.where("v > u").join(low, F.col("u") == F.col("k")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low.withColumnRenamed("u", "k"), F.col("u") == F.col("k")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(low.select("u", F.col("m").alias("v")))
-        pairs = cut(small.distinct())
+        pairs = cut(small.distinct().coalesce(tasks))
         state = pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if seen is not None and tuple(state) == seen:
             break
