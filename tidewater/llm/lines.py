@@ -8,6 +8,12 @@ blocks, and pairs beyond RADIUS bits or with lengths far apart fall inside the j
 edit similarity in words, 1 - edits / longer length >= `least`, and joined into connected groups. Of each group the first
 occurrence, by (id, text hash, place), is kept; the others are taken out of their documents.
 
+SimHash reaches few of the pairs at `least`, as one changed word of a short line flips many bits. With `whole`, which the
+queries set, an exact join finds the rest: a line of n words and one within the similarity share one of the
+floor(2 (1 - least) n) + 1 rarest pairs of adjacent words of each, as an edit breaks two such pairs at most. Rarity is
+read from a sketch of GRAMS counters over a sample; any order gives the same pairs. Candidates whose words differ in more
+bits of a parity sketch than the edits allowed can flip are passed over.
+
 More blocks make longer join keys, so the number of blocks follows the number of classes; the pairs found do not depend
 on it. Edits are of words: each word becomes one code point by its hash, so that the distance of long lines stays cheap;
 two different words pass for equal with a chance of 1 in CODES. Two lines that differ in a second hash but share the first are left alone rather than merged.
@@ -20,7 +26,7 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import components, cut
@@ -30,6 +36,10 @@ LEAST = 0.8
 MIN_WORDS = 5
 CENTRES = 4
 CODES = 0xD700
+GRAMS = 1 << 18
+SAMPLE_CHARS = 25_000_000
+PARITY = 4
+PARITIES = [f"p{j}" for j in range(PARITY)]
 
 
 def normalised(line: Column) -> Column:
@@ -94,14 +104,16 @@ def occurrences(docs: DataFrame, min_words: int) -> DataFrame:
         return lines.select("id", "th", F.col("place").cast("long").alias("place"), F.xxhash64("x.norm").alias("line"), F.xxhash64("x.norm", F.lit(1)).alias("line2"), F.size("x.words").cast("long").alias("len"), F.array_distinct("x.words").alias("words"))
 
     kept = ["id", "th", "place", "line", "line2", "len"]
+    at = F.shiftrightunsigned("h", 48)
+    odd = [F.bit_xor(F.when(F.pmod(at, F.lit(PARITY)) == j, F.call_function("shiftleft", F.lit(1).cast("long"), F.floor(at / PARITY).cast("int") % 64)).otherwise(0)).alias(f"p{j}") for j in range(PARITY)]
     # The words of a line meet in its own task, where the partial sums make one row of them.
     short = parts(docs).where(F.size("words") < LANES).withColumn("row", F.monotonically_increasing_id())
     word = short.select("row", *kept, F.explode("words").alias("w")).withColumn("h", F.xxhash64("w"))
-    counted = word.groupBy("row").agg(*[F.first(c).alias(c) for c in kept], F.count("*").alias("n"), *[F.sum(x).alias(f"c{j}") for j, x in enumerate(lane_counts(F.col("h")))])
-    out = counted.select(*kept, majority([F.col(f"c{j}") for j in range(LANE)], F.col("n")).alias("sim"))
+    counted = word.groupBy("row").agg(*[F.first(c).alias(c) for c in kept], F.count("*").alias("n"), *[F.sum(x).alias(f"c{j}") for j, x in enumerate(lane_counts(F.col("h")))], *odd)
+    out = counted.select(*kept, majority([F.col(f"c{j}") for j in range(LANE)], F.col("n")).alias("sim"), *PARITIES)
     # Only a text of so many characters can have a line of LANES words.
     giant = parts(docs.where(F.length("text") >= 2 * LANES - 1))
-    return out.unionByName(giant.where(F.size("words") >= LANES).select(*kept, long_simhash(F.col("words")).alias("sim")))
+    return out.unionByName(giant.where(F.size("words") >= LANES).select(*kept, long_simhash(F.col("words")).alias("sim"), *[F.lit(None).cast("long").alias(p) for p in PARITIES]))
 
 
 def keyed(classes: DataFrame, blocks: int, taken: int) -> DataFrame:
@@ -117,14 +129,70 @@ def near(a: DataFrame, b: DataFrame, least: float, more: Column) -> DataFrame:
     return a.join(b, "k").where(fits).select(F.least("line_a", "line_b").alias("a"), F.greatest("line_a", "line_b").alias("b")).distinct()
 
 
-def groups(docs: DataFrame, occ: DataFrame, least: float) -> DataFrame:
+def word_pairs(docs: DataFrame, min_words: int) -> DataFrame:
+    """Of (id, text): line, len and the hashes of the pairs of adjacent words of every line of min_words words."""
+    norm = F.transform(F.split("text", "\n", -1), normalised)
+    both = F.transform(norm, lambda n: F.struct(n.alias("norm"), F.transform(F.split(n, " "), lambda w: F.xxhash64(w)).alias("h")))
+    lines = docs.select(F.explode(both).alias("x")).where(F.size("x.h") >= min_words)
+    pairs = F.zip_with("x.h", F.slice("x.h", F.lit(2), F.size("x.h")), lambda a, b: F.xxhash64(a, b))
+    return lines.select(F.xxhash64("x.norm").alias("line"), F.size("x.h").alias("len"), F.slice(pairs, F.lit(1), F.size("x.h") - 1).alias("grams"))
+
+
+def rare_keys(docs: DataFrame, least: float, min_words: int) -> DataFrame:
+    """(line, k): the rarest word pairs of every line, of those that several lines have."""
+    chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+    some = docs.where(F.pmod(F.xxhash64("text", F.lit(2)), F.lit(-(-chars // SAMPLE_CHARS) or 1)) == 0)
+    seen = word_pairs(some, min_words).select(F.explode("grams").alias("g")).groupBy(F.pmod("g", F.lit(GRAMS)).alias("b")).agg(F.count("*").cast("int").alias("n"))
+    counts = bytearray(GRAMS)
+    for b, n in seen.collect():
+        counts[b] = min(n, 255)
+    ranked = word_pairs(docs, min_words)
+    # As one binary value, which no row has to carry.
+    order = F.array_sort(F.transform(F.array_distinct("grams"), lambda g: F.struct(F.substring(F.lit(counts), F.pmod(g, F.lit(GRAMS)).cast("int") + 1, F.lit(1)).alias("n"), g.alias("g"))))
+    # Of a line's pairs, repeats count too: without them the prefix is a longer part of the rest, never a shorter one.
+    size = F.floor(F.col("len") * F.lit(2 * (1 - least)) + F.lit(1e-9)).cast("int") + 1
+    keys = ranked.select("line", F.explode(F.slice(order, F.lit(1), size)["g"]).alias("k")).repartition("k")
+    of_key = Window.partitionBy("k")
+    return keys.withColumn("x", F.min("line").over(of_key)).withColumn("y", F.max("line").over(of_key)).where("x <> y").select("line", "k").distinct()
+
+
+def alike(a: DataFrame, b: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b) of a shared key and different roots that lengths and parities do not rule out."""
+    a, b = [x.select("k", *[F.col(c).alias(f"{c}_{s}") for c in ("line", "len", "root", *PARITIES)]) for x, s in ((a, "a"), (b, "b"))]
+    longer = F.greatest("len_a", "len_b")
+    lengths = F.least("len_a", "len_b") >= longer * F.lit(least) - F.lit(1e-9)
+    flips = sum((F.bit_count(F.col(f"{p}_a").bitwiseXOR(F.col(f"{p}_b"))) for p in PARITIES), F.lit(0))
+    fits = lengths & (F.col("root_a") != F.col("root_b")) & F.coalesce(flips <= 2 * F.floor(longer * F.lit(1 - least) + F.lit(1e-9)), F.lit(True))
+    return a.join(b, "k").where(fits).select(F.least("line_a", "line_b").alias("a"), F.greatest("line_a", "line_b").alias("b")).distinct()
+
+
+def widened(docs: DataFrame, occ: DataFrame, classes: DataFrame, links: DataFrame, roots: DataFrame, least: float, min_words: int) -> DataFrame:
+    """(node, root) with the links that SimHash misses: centres of each key first, then keys that hold several groups."""
+    keys = cut(rare_keys(docs, least, min_words))
+    for centres in (True, False):
+        rooted = classes.join(roots, F.col("line") == F.col("node"), "left").select("line", "len", *PARITIES, F.coalesce("root", "line").alias("root"))
+        every = keys.join(rooted, "line")
+        count = every.groupBy("k").agg(F.count("*").alias("c"), F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 < r2")
+        every = every.join(count.select("k", "c"), "k")
+        if centres:
+            some = every.where((F.col("c") <= CENTRES) | (F.pmod(F.xxhash64("line", "k"), F.col("c")) < CENTRES))
+        else:
+            some = every = every.where(F.col("c") > CENTRES)
+        pairs = cut(alike(some, every, least))
+        if pairs.limit(1).count():
+            links = cut(links.unionByName(linked(docs, occ, pairs, least)))
+            roots = components(links)
+    return roots
+
+
+def groups(docs: DataFrame, occ: DataFrame, least: float, min_words: int = 1, whole: bool = False) -> DataFrame:
     """(node, root) of all lines in groups of more than one class.
 
     First every class meets about CENTRES others of each of its buckets, all of them in small ones. Of larger buckets
     that then still hold several groups, the pairs of different groups are compared.
     """
-    found = occ.groupBy("line").agg(F.first("sim").alias("sim"), F.first("len").alias("len"), F.min("line2").alias("x"), F.max("line2").alias("y"))
-    classes = found.where("x = y").select("line", "sim", "len")
+    found = occ.groupBy("line").agg(F.first("sim").alias("sim"), F.first("len").alias("len"), *[F.first(p).alias(p) for p in PARITIES], F.min("line2").alias("x"), F.max("line2").alias("y"))
+    classes = found.where("x = y").where(F.col("len") >= min_words).select("line", "sim", "len", *PARITIES)
     blocks, taken = scheme(classes.count())
     every = keyed(classes.withColumn("root", F.col("line")), blocks, taken)
     large = every.groupBy("k").agg(F.count("*").alias("c")).where(F.col("c") > CENTRES)
@@ -139,7 +207,10 @@ def groups(docs: DataFrame, occ: DataFrame, least: float) -> DataFrame:
     rest = rest.join(open_k, "k", "left_semi")
     more = cut(near(rest, rest, least, (F.col("line_a") < F.col("line_b")) & (F.col("root_a") != F.col("root_b"))).join(pairs, ["a", "b"], "left_anti"))
     extra = cut(linked(docs, occ, more, least))
-    return components(links.unionByName(extra)) if extra.limit(1).count() else roots
+    if extra.limit(1).count():
+        links = links.unionByName(extra)
+        roots = components(links)
+    return widened(docs, occ, classes, links, roots, least, min_words) if whole else roots
 
 
 def coded(norm: Column) -> Column:
@@ -161,10 +232,10 @@ def linked(docs: DataFrame, occ: DataFrame, pairs: DataFrame, least: float) -> D
     return both.where(F.levenshtein("na", "nb") <= most).select("a", "b")
 
 
-def dropped_lines(docs: DataFrame, least: float = LEAST, min_words: int = MIN_WORDS) -> DataFrame:
+def dropped_lines(docs: DataFrame, least: float = LEAST, min_words: int = MIN_WORDS, whole: bool = False) -> DataFrame:
     """Of (id, text): id, th and the places of the lines to take out, for documents that lose any."""
     occ = cut(occurrences(docs, min_words))
-    roots = groups(docs, occ, least)
+    roots = groups(docs, occ, least, min_words, whole)
     place = F.struct("id", "th", "place")
     classes = occ.groupBy("line").agg(F.count("*").alias("c"), F.min("line2").alias("x"), F.max("line2").alias("y")).where("x = y")
     shared = classes.join(roots, F.col("line") == F.col("node"), "left").where("c > 1 or root is not null").select("line", F.coalesce("root", "line").alias("g"))
@@ -174,10 +245,10 @@ def dropped_lines(docs: DataFrame, least: float = LEAST, min_words: int = MIN_WO
     return out.groupBy("id", "th").agg(F.collect_set(F.col("place").cast("int")).alias("places"))
 
 
-def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = LEAST, min_words: int = MIN_WORDS) -> DataFrame:
+def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = LEAST, min_words: int = MIN_WORDS, whole: bool = False) -> DataFrame:
     """docs with `text` without the lines taken out, and `lines` and `lines_out`, how many it had and lost."""
     given = docs.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("text"))
-    drops = dropped_lines(given, least, min_words).select(F.col("id").alias("_tw_id"), F.col("th").alias("_tw_th"), F.col("places").alias("_tw_places"))
+    drops = dropped_lines(given, least, min_words, whole).select(F.col("id").alias("_tw_id"), F.col("th").alias("_tw_th"), F.col("places").alias("_tw_places"))
     whole = F.col(text).cast("string")
     out = docs.drop("lines", "lines_out").join(drops, F.col(doc_id).eqNullSafe(F.col("_tw_id")) & (F.xxhash64(whole) == F.col("_tw_th")), "left")
     split = F.split(whole, "\n", -1)
@@ -190,4 +261,4 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lea
 def op4_line_dedup(spark, sf_dir: str) -> DataFrame:
     """Every document without repeated lines."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return dedup_lines(docs).select("doc_id", "text", "lines", "lines_out")
+    return dedup_lines(docs, whole=True).select("doc_id", "text", "lines", "lines_out")
