@@ -32,7 +32,7 @@ def distance(a, b):
 
 def test_lines_against_edit_similarity_alone(spark):
     base = [prose(n) for n in (5, 6, 9, 12, 20, 34, 80) for _ in range(3)]
-    texts = base + [changed(b, random.randint(0, max(1, len(b.split()) // 6))) for b in base for _ in range(6)]
+    texts = base + [changed(b, random.randint(0, max(1, len(b.split()) // 6))) for b in base for _ in range(6)] + [prose(4), prose(3)] * 2
     edges = []
     for i, a in enumerate(texts):
         for j, b in enumerate(texts[:i]):
@@ -46,3 +46,11 @@ def test_lines_against_edit_similarity_alone(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
     got = {r["id"] for r in lines.dropped_lines(df, whole=True).collect()}
     assert got == {i for i, x in enumerate(low) if i != x}
+
+
+def test_short_and_unspaced_lines_are_deduplicated(spark, tmp_path):
+    chinese = "這個網站的所有內容均受版權保護未經許可不得轉載"
+    rows = [(1, "All rights reserved\nown\n\n" + chinese), (2, "all rights reserved.\n\n" + chinese.replace("轉", "引")), (3, "x\n}\n}\nALL RIGHTS RESERVED")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: (r["text"], r["lines_out"]) for r in lines.op4_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == {1: (rows[0][1], 0), 2: ("", 2), 3: ("x\n}\n}", 1)}

@@ -12,7 +12,8 @@ SimHash reaches few of the pairs at `least`, as one changed word of a short line
 queries set, an exact join finds the rest: a line of n words and one within the similarity share one of the
 floor(2 (1 - least) n) + 1 rarest pairs of adjacent words of each, as an edit breaks two such pairs at most. Rarity is
 read from a sketch of GRAMS counters over a sample; any order gives the same pairs. Candidates whose words differ in more
-bits of a parity sketch than the edits allowed can flip are passed over.
+bits of a parity sketch than the edits allowed can flip are passed over. With `whole`, lines of fewer than `min_words`
+words take part too, as exact copies only. Each letter of a script written without spaces is a word of its own.
 
 More blocks make longer join keys, so the number of blocks follows the number of classes; the pairs found do not depend
 on it. Edits are of words: each word becomes one code point by its hash, so that the distance of long lines stays cheap;
@@ -40,10 +41,13 @@ GRAMS = 1 << 18
 SAMPLE_CHARS = 25_000_000
 PARITY = 4
 PARITIES = [f"p{j}" for j in range(PARITY)]
+UNSPACED = r"([\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}])"
 
 
 def normalised(line: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(line), r"[^\p{L}\p{Nd}]+", " "))
+    # Letters of the scripts without spaces take three bytes.
+    apart = F.when(F.octet_length(line) >= F.length(line) + 2, F.regexp_replace(F.lower(line), UNSPACED, " $1 ")).otherwise(F.lower(line))
+    return F.trim(F.regexp_replace(apart, r"[^\p{L}\p{Nd}]+", " "))
 
 
 LANE = 16
@@ -234,7 +238,7 @@ def linked(docs: DataFrame, occ: DataFrame, pairs: DataFrame, least: float) -> D
 
 def dropped_lines(docs: DataFrame, least: float = LEAST, min_words: int = MIN_WORDS, whole: bool = False) -> DataFrame:
     """Of (id, text): id, th and the places of the lines to take out, for documents that lose any."""
-    occ = cut(occurrences(docs, min_words))
+    occ = cut(occurrences(docs, 1 if whole else min_words))
     roots = groups(docs, occ, least, min_words, whole)
     place = F.struct("id", "th", "place")
     classes = occ.groupBy("line").agg(F.count("*").alias("c"), F.min("line2").alias("x"), F.max("line2").alias("y")).where("x = y")
