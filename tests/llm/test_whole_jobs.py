@@ -2,7 +2,7 @@
 
 import random
 
-from tidewater.llm import lines
+from tidewater.llm import lines, urls
 
 random.seed(21)
 VOCAB = ["".join(random.choices("abcdefgh", k=random.randint(2, 6))) for _ in range(300)]
@@ -54,3 +54,13 @@ def test_short_and_unspaced_lines_are_deduplicated(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r["doc_id"]: (r["text"], r["lines_out"]) for r in lines.op4_line_dedup(spark, str(tmp_path)).collect()}
     assert got == {1: (rows[0][1], 0), 2: ("", 2), 3: ("x\n}\n}", 1)}
+
+
+def test_a_rare_labelled_branch_of_a_hot_host_stays_apart(spark):
+    rows = [("h", f"/en/{i}", None) for i in range(1970)] + [("h", f"/de/{i}", "block") for i in range(30)]
+    rows += [("many", f"/s{i}/{j}", "block" if i == 7 else "allow") for i in range(60) for j in range(40)] + [("many", "/s7/new", None)]
+    rows += [("few", f"/{i}/x", None) for i in range(90)] + [("few", "/bad/x", "block")]
+    got = {(r["host"], r["path"]): r for r in urls.judged(urls.templates(spark.createDataFrame(rows, "host string, path string, label string"))).collect()}
+    assert got["h", "/de/1"]["rejected"] and not any(got["h", f"/en/{i}"]["rejected"] for i in range(1970))
+    assert got["many", "/s7/new"]["rejected"] and got["many", "/s7/new"]["template"] == "/s7/*" and not got["many", "/s8/1"]["rejected"]
+    assert not got["few", "/1/x"]["rejected"]

@@ -4,9 +4,9 @@ Rules first: a rule (host, path, verdict) fits its host and all subdomains where
 the longest that fits decides. What rules decide also labels the urls from which the tree judges the others.
 
 The tree is built level by level for each host. Below a node, a path segment that few of the node's urls have is
-variable and becomes the wildcard `*`; a frequent one (at least `least` urls and `share` of the node's) stays as a branch
-of its own only where its labelled urls differ from the node's in a two-proportion test, otherwise it is merged into the
-wildcard. Segments beyond `depth` levels count as one last segment, so no path is left out. A template is rejected where
+variable and becomes the wildcard `*`, where none of them has a label; one with labels, whatever its share, stays as a
+branch of its own where its labelled urls differ from the node's others in a two-proportion test, or where no others have
+labels, and is merged into the wildcard otherwise. `least` urls and `share` of the node's urls make one frequent. Segments beyond `depth` levels count as one last segment, so no path is left out. A template is rejected where
 its smoothed share of blocked labels, (blocked + strength * prior) / (labelled + strength), reaches `purity`.
 
 A url that is null or has no `://` has an empty host and path, no rule, and is allowed unless the template of that empty
@@ -61,7 +61,7 @@ def templates(urls: DataFrame, least: int = 5, share: float = 0.02, z: float = 2
         here = rows.where(F.size("_seg") > d).withColumn("_s", F.get("_seg", F.lit(d)))
         child = here.groupBy("host", "template", "_s").agg(F.count("*").alias("n"), F.sum(labelled).alias("l"), F.sum(F.coalesce(blocked, F.lit(0))).alias("k"))
         node = child.groupBy("host", "template").agg(F.sum("n").alias("tn"), F.sum("l").alias("tl"), F.sum("k").alias("tk"))
-        child = child.where(F.col("n") >= least).join(node, ["host", "template"]).where(F.col("n") >= F.col("tn") * share)
+        child = child.join(node, ["host", "template"]).where((F.col("l") > 0) | (F.col("n") >= least) & (F.col("n") >= F.col("tn") * share))
         rest_l, rest_k = F.col("tl") - F.col("l"), F.col("tk") - F.col("k")
         pooled = F.col("tk") / F.col("tl")
         apart = F.abs(F.col("k") / F.col("l") - rest_k / rest_l) >= z * F.sqrt(pooled * (1 - pooled) * (1 / F.col("l") + 1 / rest_l))
