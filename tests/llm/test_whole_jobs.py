@@ -64,3 +64,13 @@ def test_a_rare_labelled_branch_of_a_hot_host_stays_apart(spark):
     assert got["h", "/de/1"]["rejected"] and not any(got["h", f"/en/{i}"]["rejected"] for i in range(1970))
     assert got["many", "/s7/new"]["rejected"] and got["many", "/s7/new"]["template"] == "/s7/*" and not got["many", "/s8/1"]["rejected"]
     assert not got["few", "/1/x"]["rejected"]
+
+
+def test_line_stage_keeps_what_is_left_of_short_lines(spark, tmp_path):
+    import corpus_pipeline
+
+    notice = prose(12)
+    rows = [(1, notice), (2, f"a list\nof few words\n{notice}"), (3, f"{notice}\n \n"), (4, f"第一行的文字\n{notice}"), (5, "")]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in corpus_pipeline.line_dedup(spark, df, str(tmp_path)).collect()}
+    assert got == {1: (notice, len(notice)), 2: ("a list\nof few words", 19), 4: ("第一行的文字", 6), 5: ("", 0)}
