@@ -74,3 +74,16 @@ def test_line_stage_keeps_what_is_left_of_short_lines(spark, tmp_path):
     df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in corpus_pipeline.line_dedup(spark, df, str(tmp_path)).collect()}
     assert got == {1: (notice, len(notice)), 2: ("a list\nof few words", 19), 4: ("第一行的文字", 6), 5: ("", 0)}
+
+
+def test_decontamination_stage_sees_edited_and_partial_items(spark, tmp_path):
+    import corpus_pipeline
+
+    words = [prose(40).split() for _ in range(3)]
+    spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(words)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    edited = " ".join([*words[0][:20], "edited", *words[0][21:]])
+    partial = " ".join(words[1][5 : 5 + corpus_pipeline.PASSAGE])
+    brief = " ".join(words[2][5 : 4 + corpus_pipeline.PASSAGE])
+    texts = [f"{prose(10)} {x} {prose(10)}" for x in (edited, partial, brief, prose(40))]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r["doc_id"] for r in corpus_pipeline.decontaminated(spark, df, str(tmp_path)).collect()} == {2, 3}

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import alnum_words, cut
 
 BLOCK_CHARS = 24_000_000
-HITS = "struct<n_words:bigint,ranges:array<struct<first:bigint,past:bigint>>,items:array<struct<item_id:string,found:bigint,total:bigint,containment:double>>>"
+HITS = "struct<n_words:bigint,ranges:array<struct<first:bigint,past:bigint>>,items:array<struct<item_id:string,found:bigint,total:bigint,containment:double,longest:bigint>>>"
 
 
 def item_windows(words: list[bytes], window: int) -> list[tuple[bytes, ...]]:
@@ -68,7 +68,7 @@ class Index:
                         spans.append((first, first + size))
                         for item_id in self.windows[key]:
                             starts[item_id].append((first, key))
-        return merged(spans), [{"item_id": k, "found": len({key for _, key in v}), "total": self.total[k], "containment": densest(v, self.total[k])} for k, v in sorted(starts.items())]
+        return merged(spans), [{"item_id": k, "found": len({key for _, key in v}), "total": self.total[k], "containment": densest(v, self.total[k]), "longest": longest(v)} for k, v in sorted(starts.items())]
 
 
 def densest(found: list[tuple[int, tuple]], total: int) -> float:
@@ -85,6 +85,15 @@ def densest(found: list[tuple[int, tuple]], total: int) -> float:
     return best / total
 
 
+def longest(found: list[tuple[int, tuple]]) -> int:
+    """The words of the longest passage in which every window of the item's size begins one word after another."""
+    best, run, before = 0, 0, None
+    for start, size in sorted({(start, len(key)) for start, key in found}):
+        run = run + 1 if before == start - 1 else 1
+        best, before = max(best, run + size - 1), start
+    return best
+
+
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for first, past in sorted(spans):
