@@ -2,8 +2,10 @@
 
 A fingerprint retains every hash of a text's distinct shingles of WIDTH words below a fixed fraction of the hash range,
 so fingerprints of any two texts compare over the same part of the range and merge by union. So that short texts are
-comparable too, the FLOOR smallest hashes are retained in any case; each sketch is then complete up to a limit of its
-own, and two sketches are compared up to the smaller limit. The estimate is the containment of the smaller sketch in the
+comparable to others of like size, the FLOOR smallest hashes are retained in any case; each sketch is then complete up to
+a limit of its own, and two sketches are compared up to the smaller limit. Against a long text that limit is 1 / ONE_IN
+of the range: a short text of n shingles has no hash there with a chance of (1 - 1 / ONE_IN) ** n (53% for 20 shingles,
+4% for 100), and its likeness is then 0 even where the long text holds all of it. The estimate is the containment of the smaller sketch in the
 other. A text of fewer words than WIDTH has its whole sequence of words as its one shingle.
 
 Null counts as empty; texts without words have empty sketches, which are alike (1) to each other and to nothing else.
