@@ -2,7 +2,7 @@
 
 import random
 
-from tidewater.llm import lines, urls
+from tidewater.llm import decontaminate, lines, urls
 
 random.seed(21)
 VOCAB = ["".join(random.choices("abcdefgh", k=random.randint(2, 6))) for _ in range(300)]
@@ -87,3 +87,15 @@ def test_decontamination_stage_sees_edited_and_partial_items(spark, tmp_path):
     texts = [f"{prose(10)} {x} {prose(10)}" for x in (edited, partial, brief, prose(40))]
     df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
     assert {r["doc_id"] for r in corpus_pipeline.decontaminated(spark, df, str(tmp_path)).collect()} == {2, 3}
+
+
+def test_items_of_null_id_count_as_hits(spark, tmp_path):
+    import corpus_pipeline
+
+    a, b, c = prose(30), prose(30), prose(30)
+    spark.createDataFrame([(None, a), (None, b), (3, c)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    df = spark.createDataFrame([(0, f"x {a} y", "en", "s", 0), (1, f"x {c} {b}", "en", "s", 0), (2, prose(30), "en", "s", 0)], "doc_id long, text string, lang string, source string, n_chars long")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: (r["n_hit"], r["n_items"]) for r in decontaminate.op9_decontaminate(spark, str(tmp_path)).collect()}
+    assert got == {0: (30, 0), 1: (60, 1), 2: (0, 0)}
+    assert {r["doc_id"] for r in corpus_pipeline.decontaminated(spark, df, str(tmp_path)).collect()} == {2}

@@ -9,7 +9,8 @@ The items are read in blocks of a bounded number of characters, each of which is
 beyond one block takes further passes, so no broadcast grows with the benchmark.
 
 Null and empty texts have no words and no hits; an item without words is never found. Repeated documents and items are
-handled row by row; items of equal id count once. All columns of the documents stay, whatever their names, except that
+handled row by row; items of equal id count once. Items of null id are items by their text: their windows are hits, and
+they are listed with a null id, which op9 does not count among the items. All columns of the documents stay, whatever their names, except that
 `hits` replaces a column of that name.
 """
 
@@ -37,10 +38,10 @@ def item_windows(words: list[bytes], window: int) -> list[tuple[bytes, ...]]:
 class Index:
     """One block of items, keyed by the anchor of each window."""
 
-    def __init__(self, items: list[tuple[str, str | None]], window: int, counts: dict[bytes, int]):
-        self.windows: dict[tuple[bytes, ...], list[str]] = {}
-        self.total: dict[str, int] = {}
-        of_item: dict[str, set] = defaultdict(set)
+    def __init__(self, items: list[tuple[tuple[bool, str], str | None]], window: int, counts: dict[bytes, int]):
+        self.windows: dict[tuple[bytes, ...], list[tuple[bool, str]]] = {}
+        self.total: dict[tuple[bool, str], int] = {}
+        of_item: dict[tuple[bool, str], set] = defaultdict(set)
         for item_id, text in items:
             of_item[item_id].update(item_windows(alnum_words(text), window))
         for item_id, found in of_item.items():
@@ -68,7 +69,7 @@ class Index:
                         spans.append((first, first + size))
                         for item_id in self.windows[key]:
                             starts[item_id].append((first, key))
-        return merged(spans), [{"item_id": k, "found": len({key for _, key in v}), "total": self.total[k], "containment": densest(v, self.total[k]), "longest": longest(v)} for k, v in sorted(starts.items())]
+        return merged(spans), [{"item_id": k[1] if k[0] else None, "found": len({key for _, key in v}), "total": self.total[k], "containment": densest(v, self.total[k]), "longest": longest(v)} for k, v in sorted(starts.items())]
 
 
 def densest(found: list[tuple[int, tuple]], total: int) -> float:
@@ -124,13 +125,13 @@ def find_items(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_i
 
     For each item: its windows found, how many it has, and the containment in the best item-sized stretch.
     """
-    items = benchmark.select(F.col(item_id).cast("string").alias("item_id"), F.col(item_text).cast("string").alias("text")).where("item_id is not null")
+    items = benchmark.select(F.col(item_id).cast("string").alias("item_id"), F.col(item_text).cast("string").alias("text"))
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(chars / block_chars))
-    items = items.withColumn("block", F.pmod(F.xxhash64("item_id"), F.lit(blocks)))
+    items = items.withColumn("block", F.pmod(F.xxhash64("item_id", F.when(F.col("item_id").isNull(), F.col("text"))), F.lit(blocks)))
     out = docs.drop("hits")
     for k in range(blocks):
-        rows = [(r["item_id"], r["text"]) for r in items.where(F.col("block") == k).select("item_id", "text").collect()]
+        rows = [((r["item_id"] is not None, r["text"] or "" if r["item_id"] is None else r["item_id"]), r["text"]) for r in items.where(F.col("block") == k).select("item_id", "text").collect()]
         vocabulary = {w for _, t in rows for w in alnum_words(t)}
         index = docs.sparkSession.sparkContext.broadcast(Index(rows, window, word_counts(docs, text, vocabulary)))
         out = out.withColumn("hits", searcher(index)(F.col(text).cast("string"), F.col("hits") if k else F.lit(None).cast(HITS)))
@@ -170,7 +171,7 @@ def op9_decontaminate(spark, sf_dir: str) -> DataFrame:
     """Every document against the whole benchmark, with windows of 8 words; two items found make it contaminated."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     found = find_items(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    ids = F.array_sort(F.array_distinct(F.col("hits.items.item_id")))
+    ids = F.array_sort(F.array_compact(F.array_distinct(F.col("hits.items.item_id"))))
     return found.select(
         "doc_id",
         F.col("hits.n_words").alias("n_words"),
