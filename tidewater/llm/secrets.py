@@ -6,7 +6,10 @@ name, the texts that hold them in lower case; a text is known by a 64-bit hash,
 hashes only adds a candidate. Intersecting the postings gives the candidates of each rule, on which alone its expression
 runs. Rules without mandatory trigrams scan every text.
 
-Null counts as empty. Rows keep their ids whatever they are; repeated rows get equal results. Spans are in code points.
+Null counts as empty; an empty table gives an empty result. Rows keep their ids whatever they are; repeated rows get equal
+results, and of several kinds that begin at one place the order is that of the rules. Spans are in code points. Only id and
+text are read, so other columns may have any names. Expressions hold no repeated groups, which Java would match by
+recursion, and places are summed in blocks, so very long texts and very many matches cost no stack and no squared time.
 """
 
 from __future__ import annotations
@@ -18,8 +21,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import cut
+
 MOST_STRINGS = 64
+# Candidates are rows of a hash and a bit mask, 64 bytes at most in a broadcast: so many of them take 64 MB.
 BROADCAST_KEYS = 1_000_000
+BLOCK = 256
 
 
 @dataclass(frozen=True)
@@ -40,7 +47,7 @@ RULES = (
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("google", r"AIza[0-9A-Za-z_-]{35}"),
     Rule("stripe", r"[sr]k_live_[0-9A-Za-z]{16,}"),
-    Rule("private_key", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----"),
+    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
 )
 
@@ -129,23 +136,48 @@ def _members(parts) -> set[str] | None:
     return out if len(out) <= 8 else None
 
 
+def bound(value: Column, use) -> Column:
+    """use(value) with the value worked out once, however often `use` names it, also in functions over arrays."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def running(values: Column) -> Column:
+    """The sum of all values before each, by appending, which copies the array."""
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+    return F.aggregate(values, begin, lambda s, v: F.struct((s["at"] + v).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out")), lambda s: s["out"])
+
+
+def placed(sizes: Column) -> Column:
+    """Of array<struct<gap, size, own>>: array<struct<at, size, own>>, where `at` is the sum of all before and the gap.
+
+    Sums run over blocks of BLOCK matches, and over the blocks' own sums, so the copies stay short.
+    """
+
+    def block_of(block: Column, begin: Column) -> Column:
+        before = running(F.transform(block, lambda m: m["gap"] + m["size"]))
+        return F.zip_with(block, before, lambda m, o: F.struct((begin + o + m["gap"]).alias("at"), m["size"].alias("size"), m["own"].alias("own")))
+
+    def joined(blocks: Column) -> Column:
+        totals = F.transform(blocks, lambda block: F.aggregate(block, F.lit(0), lambda t, m: t + m["gap"] + m["size"]))
+        return F.flatten(F.zip_with(blocks, running(totals), block_of))
+
+    def cut_up(all_sizes: Column) -> Column:
+        last = F.floor((F.size(all_sizes) - 1) / BLOCK).cast("int")
+        return F.transform(F.sequence(F.lit(0), last), lambda b: F.slice(all_sizes, b * BLOCK + 1, F.lit(BLOCK)))
+
+    return bound(sizes, lambda all_sizes: bound(cut_up(all_sizes), joined))
+
+
 def spans(text: Column, rule: Rule) -> Column:
     """All kept matches of a rule as array<struct<start, past>>, leftmost and not overlapping."""
-    p = F.lit(rule.pattern)
-    gaps = F.transform(F.split(text, rule.pattern, -1), F.length)
-    whole = F.transform(F.regexp_extract_all(text, p, F.lit(0)), F.length)
-    counted = F.transform(F.regexp_extract_all(text, p, F.lit(rule.group)), F.length) if rule.group else whole
-    pairs = F.arrays_zip(F.slice(gaps, F.lit(1), F.size(whole)).alias("gap"), whole.alias("size"), counted.alias("own"))
-    none = F.array().cast("array<struct<start:int,past:int,own:int>>")
-
-    def step(state, m):
-        start = state["at"] + m["gap"]
-        past = start + m["size"]
-        return F.struct(past.alias("at"), F.concat(state["out"], F.array(F.struct(start.alias("start"), past.alias("past"), m["own"].alias("own")))).alias("out"))
-
-    all_spans = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda s: s["out"])
-    kept = F.filter(all_spans, lambda s: s["own"] >= rule.least)
-    found = F.transform(kept, lambda s: F.struct(s["start"].alias("start"), s["past"].alias("past")))
+    whole = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
+    own = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)) if rule.group else None
+    # split gives one piece more than there are matches.
+    parts = [F.split(text, rule.pattern, -1).alias("g"), whole.alias("w")] + ([own.alias("o")] if rule.group else [])
+    matches = F.filter(F.arrays_zip(*parts), lambda m: m["w"].isNotNull())
+    sizes = F.transform(matches, lambda m: F.struct(F.length(m["g"]).alias("gap"), F.length(m["w"]).alias("size"), F.length(m["o" if rule.group else "w"]).alias("own")))
+    kept = F.filter(placed(sizes), lambda m: m["own"] >= rule.least)
+    found = F.transform(kept, lambda m: F.struct(m["at"].alias("start"), (m["at"] + m["size"]).alias("past")))
     return F.when(text.rlike(rule.pattern), found).otherwise(F.array().cast("array<struct<start:int,past:int>>"))
 
 
@@ -181,23 +213,20 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rules: tup
     """For each row of docs: the id and `spans`, array<struct<start, rank, kind, past>> by start, then rule order."""
     base = docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).withColumn("key", F.xxhash64("text"))
     queries = {r.kind: derive(r.pattern) for r in rules}
-    rank = {r.kind: i for i, r in enumerate(rules)}
+    none = F.array().cast("array<struct<start:int,rank:int,kind:string,past:int>>")
 
-    def tagged(rule: Rule) -> Column:
-        return F.transform(spans(F.col("text"), rule), lambda s: F.struct(s["start"].alias("start"), F.lit(rank[rule.kind]).alias("rank"), F.lit(rule.kind).alias("kind"), s["past"].alias("past")))
+    def tagged(rank: int, rule: Rule) -> Column:
+        return F.transform(spans(F.col("text"), rule), lambda s: F.struct(s["start"].alias("start"), F.lit(rank).alias("rank"), F.lit(rule.kind).alias("kind"), s["past"].alias("past")))
 
-    none = F.array().cast("array<struct<start:int,rank:int,kind:string,past:int>>")
     indexed = {k: q for k, q in queries.items() if q}
-    wanted = sorted({g for q in indexed.values() for condition in q for clause in condition for g in clause})
-    keys = candidates(postings(base.select("key", "text"), wanted), indexed).groupBy("key").agg(F.collect_set("kind").alias("kinds"))
-    few = keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
-    verified = base.select("key", "text").join(F.broadcast(keys) if few else keys, "key")
-    hits = [F.when(F.array_contains("kinds", r.kind), tagged(r)).otherwise(none) for r in rules if queries[r.kind]]
-    # A clash of keys gives two results for one key; the texts tell them apart.
-    verified = verified.select("key", F.length("text").alias("n"), F.xxhash64("text", F.lit(1)).alias("key2"), F.concat(*hits).alias("more")).where(F.size("more") > 0).dropDuplicates(["key", "n", "key2"])
-    everywhere = base.select("id", "key", F.length("text").alias("n"), F.xxhash64("text", F.lit(1)).alias("key2"), F.concat(none, *[tagged(r) for r in rules if not queries[r.kind]]).alias("found"))
-    out = everywhere.join(F.broadcast(verified) if few else verified, ["key", "n", "key2"], "left")
-    return out.select(F.col("id").alias(doc_id), F.array_sort(F.concat("found", F.coalesce("more", none))).alias("spans"))
+    held = base.withColumn("mask", F.lit(0))
+    if indexed:
+        wanted = sorted({g for q in indexed.values() for condition in q for clause in condition for g in clause})
+        bit = F.coalesce(*[F.when(F.col("kind") == r.kind, F.lit(1 << i)) for i, r in enumerate(rules)])
+        keys = cut(candidates(postings(base.select("key", "text"), wanted), indexed).groupBy("key").agg(F.bit_or(bit).alias("mask")))
+        held = base.join(F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys, "key", "left")
+    hits = [F.when(F.col("mask").bitwiseAND(F.lit(1 << i)) != 0, tagged(i, r)).otherwise(none) if queries[r.kind] else tagged(i, r) for i, r in enumerate(rules)]
+    return held.select(F.col("id").alias(doc_id), F.array_sort(F.concat(none, *hits)).alias("spans"))
 
 
 def listed(spans: Column) -> Column:
