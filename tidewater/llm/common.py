@@ -5,9 +5,9 @@ from __future__ import annotations
 import gc
 import math
 import tempfile
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Byte tables: ASCII letters lower-cased; LOWER keeps the rest, ALNUM turns every other ASCII byte into a space.
@@ -50,6 +50,11 @@ def cut(df: DataFrame) -> DataFrame:
     return out
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value worked out once, however often `use` names it, also in functions over arrays."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def chunks(texts: Iterable[str | None], limit: int) -> Iterator[tuple[int, int]]:
     """Consecutive index ranges whose texts hold about `limit` characters; a longer text stands alone."""
     start, held, n = 0, 0, 0

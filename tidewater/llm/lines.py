@@ -1,26 +1,29 @@
 """Fuzzy line deduplication, in SQL functions alone.
 
-Lines are normalised (lower case; runs of anything but letters and digits become one space). Lines of at least
-`min_words` words take part; shorter ones are left alone. Equal normalised lines are one class. Each class gets a 64-bit
-SimHash of its distinct words, counted in lanes packed into longs. Classes within RADIUS bits are found by the pigeonhole
-principle: of `blocks` blocks at least blocks - RADIUS must agree, so classes are joined on each choice of that many
-blocks, and pairs beyond RADIUS bits or with lengths far apart fall inside the join. What is left is verified by
-edit similarity in words, 1 - edits / longer length >= `least`, and joined into connected groups. Of each group the first
-occurrence, by (id, text hash, place), is kept; the others are taken out of their documents.
+Lines are normalised (lower case; runs of anything but letters and digits become one space; each letter of a script
+written without spaces is a word of its own). Equal normalised lines are one class, and a line that only occurs once in
+its class may still be near another. Each class gets a 64-bit SimHash of its distinct words, counted in lanes packed into
+longs. Classes within RADIUS bits are found by the pigeonhole principle: of `blocks` blocks at least blocks - RADIUS must
+agree, so classes are joined on each choice of that many blocks, and pairs beyond RADIUS bits or with lengths far apart
+fall inside the join. What is left is verified by edit similarity in words, 1 - edits / longer length >= `least`, and
+joined into connected groups. Of each group the first occurrence, by (id, text hash, place), is kept; the others are taken
+out of their documents.
 
 SimHash reaches few of the pairs at `least`, as one changed word of a short line flips many bits. With `whole`, which the
 queries set, an exact join finds the rest: a line of n words and one within the similarity share one of the
 floor(2 (1 - least) n) + 1 rarest pairs of adjacent words of each, as an edit breaks two such pairs at most. Rarity is
-read from a sketch of GRAMS counters over a sample; any order gives the same pairs. Candidates whose words differ in more
-bits of a parity sketch than the edits allowed can flip are passed over. With `whole`, lines of fewer than `min_words`
-words take part too, as exact copies only. Each letter of a script written without spaces is a word of its own.
+read from a sketch of GRAMS counters over a sample; any order gives the same pairs. SimHash has joined the large groups by
+then, and a pair of words whose lines all lie in one group is passed over. Candidates whose words differ in more bits of a
+parity sketch than the edits allowed can flip fall inside the join. With `whole`, lines of fewer than `min_words` words
+take part too, as exact copies only.
 
 More blocks make longer join keys, so the number of blocks follows the number of classes; the pairs found do not depend
-on it. Edits are of words: each word becomes one code point by its hash, so that the distance of long lines stays cheap;
-two different words pass for equal with a chance of 1 in CODES. Two lines that differ in a second hash but share the first are left alone rather than merged.
+on it. Edits are of words, compared by 32-bit hashes. Of lines that differ but share the 64-bit hash of their class, those
+are classes of another hash.
 
-Null and empty texts have no lines and stay as they are. Rows equal in id and text count as one occurrence. Rows keep
-all their columns, whatever their names; ids may be null.
+Null and empty texts have no lines and stay as they are; an empty table stays empty. Rows equal in id and text count as
+one occurrence. Rows keep all their columns, whatever their names (`lines` and `lines_out` are replaced); ids may be null.
+Lines of any length take part: SimHash counters of 8, 16 or 64 bits are chosen by the number of words.
 """
 
 from __future__ import annotations
@@ -30,7 +33,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, cut
+from .common import bound, components, cut
 
 RADIUS = 3
 LEAST = 0.8
@@ -39,43 +42,48 @@ CENTRES = 4
 CODES = 0xD700
 GRAMS = 1 << 18
 SAMPLE_CHARS = 25_000_000
+SLICES = 2
 PARITY = 4
 PARITIES = [f"p{j}" for j in range(PARITY)]
 UNSPACED = r"([\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}])"
 
 
-def normalised(line: Column) -> Column:
+def normal_lines(text: Column) -> Column:
+    """The normalised lines of a whole text, some of them empty, with a space at either end perhaps."""
+    low = F.lower(text)
     # Letters of the scripts without spaces take three bytes.
-    apart = F.when(F.octet_length(line) >= F.length(line) + 2, F.regexp_replace(F.lower(line), UNSPACED, " $1 ")).otherwise(F.lower(line))
-    return F.trim(F.regexp_replace(apart, r"[^\p{L}\p{Nd}]+", " "))
+    apart = F.when((F.octet_length(low) >= F.length(low) + 2) & low.rlike(UNSPACED), F.regexp_replace(low, UNSPACED, " $1 ")).otherwise(low)
+    return F.split(F.regexp_replace(apart, r"[^\p{L}\p{Nd}\n]+", " "), "\n", -1)
 
 
-LANE = 16
-LANES = 1 << (LANE - 1)
-ONES = sum(1 << i for i in range(0, 64, LANE))
+def lane_counts(h: Column, lane: int) -> list[Column]:
+    """A hash's bits as 64 / lane counters in each of `lane` longs; sums of these count the bits of many hashes."""
+    ones = F.lit(sum(1 << i for i in range(0, 64, lane)))
+    return [F.shiftrightunsigned(h, j).bitwiseAND(ones) for j in range(lane)]
 
 
-def lane_counts(h: Column) -> list[Column]:
-    """A hash's bits as 64 / LANE counters in each of LANE longs; sums of these count the bits of many hashes."""
-    return [F.shiftrightunsigned(h, j).bitwiseAND(F.lit(ONES)) for j in range(LANE)]
+def packed_simhash(hashes: Column, lane: int) -> Column:
+    """Bit i is set where more than half of the hashes have it set; of fewer than 2 ** (lane - 1) hashes, so that no counter runs over."""
+    ones, half = sum(1 << i for i in range(0, 64, lane)), (1 << (lane - 2)) - 1
+    none = F.struct(*[F.lit(0).cast("long").alias(f"c{j}") for j in range(lane)])
+    counts = F.aggregate(hashes, none, lambda a, h: F.struct(*[(a[f"c{j}"] + x).alias(f"c{j}") for j, x in enumerate(lane_counts(h, lane))]))
 
+    def majority(c: Column) -> Column:
+        bits = F.lit(0).cast("long")
+        for j in range(lane):
+            over = (c[f"c{j}"] + (F.lit(half).cast("long") - F.floor(F.size(hashes) / 2)) * F.lit(ones)).bitwiseAND(F.lit(ones << (lane - 2)))
+            bits = bits.bitwiseOR(F.shiftleft(F.shiftrightunsigned(over, lane - 2), j))
+        return bits
 
-def majority(counts: list[Column], n: Column) -> Column:
-    """Bit i is set where more than half of n hashes have it set; n < LANES, so that no counter runs over."""
-    bits, half = F.lit(0).cast("long"), (1 << (LANE - 2)) - 1
-    for j, count in enumerate(counts):
-        over = (count + (F.lit(half).cast("long") - F.floor(n / 2)) * F.lit(ONES)).bitwiseAND(F.lit(ONES << (LANE - 2)))
-        bits = bits.bitwiseOR(F.shiftleft(F.shiftrightunsigned(over, LANE - 2), j))
-    return bits
+    return bound(counts, majority)
 
 
-def long_simhash(words: Column) -> Column:
-    """The same for an array of words of any size, bit by bit."""
-    hashes = F.transform(words, lambda w: F.xxhash64(w))
+def wide_simhash(hashes: Column) -> Column:
+    """The same for hashes of any number, bit by bit."""
 
     def bit(i: int) -> Column:
         on = F.size(F.filter(hashes, lambda h: F.shiftrightunsigned(h, i).bitwiseAND(F.lit(1).cast("long")) == 1))
-        return F.shiftleft((on * 2 > F.size(words)).cast("long"), i)
+        return F.shiftleft((on * 2 > F.size(hashes)).cast("long"), i)
 
     out = bit(0)
     for i in range(1, 64):
@@ -83,6 +91,34 @@ def long_simhash(words: Column) -> Column:
     return out
 
 
+def long_simhash(words: Column) -> Column:
+    """The SimHash of an array of distinct words of any size."""
+    return wide_simhash(F.transform(words, lambda w: F.xxhash64(F.hash(w))))
+
+
+def simhash(hashes: Column) -> Column:
+    n = F.size(hashes)
+    return F.when(n < 1 << 7, packed_simhash(hashes, 8)).when(n < 1 << 15, packed_simhash(hashes, 16)).otherwise(wide_simhash(hashes))
+
+
+def parity(hashes: Column) -> Column:
+    """A struct of PARITY longs, in which each hash flips one bit."""
+
+    def flip(a: Column, h: Column) -> Column:
+        bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(h, 50).bitwiseAND(F.lit(63).cast("long")).cast("int"))
+        own = F.shiftrightunsigned(h, 48).bitwiseAND(F.lit(PARITY - 1).cast("long"))
+        return F.struct(*[F.when(own == j, a[p].bitwiseXOR(bit)).otherwise(a[p]).alias(p) for j, p in enumerate(PARITIES)])
+
+    return F.aggregate(hashes, F.struct(*[F.lit(0).cast("long").alias(p) for p in PARITIES]), flip)
+
+
+def sketched(rows: DataFrame) -> DataFrame:
+    """Rows with the word hashes `h`: with `sim` and the parities of their distinct words."""
+    # Made once, in an array's function: as columns of their own they would be worked out again wherever they are used.
+    both = bound(F.transform(F.array_distinct("h"), lambda w: F.xxhash64(w)), lambda x: F.struct(simhash(x).alias("sim"), parity(x).alias("p")))
+    return rows.withColumn("_x", F.explode(F.array(both))).select(*rows.columns, "_x.sim", "_x.p.*")
+
+
 def scheme(classes: int) -> tuple[int, int]:
     """How many blocks, and how many of them a join key takes, for a number of classes."""
     blocks = RADIUS + (1 if classes <= 1 << 22 else 2 if classes <= 1 << 31 else 3)
@@ -96,28 +132,39 @@ def block_keys(sim: Column, blocks: int, taken: int) -> Column:
     return F.array(*[F.xxhash64(F.lit(i), *[part[k] for k in chosen]) for i, chosen in enumerate(combinations(range(blocks), taken))])
 
 
+def placed_lines(docs: DataFrame, min_words: int, clashing: DataFrame | None = None) -> DataFrame:
+    """Of (id, text): id, th, place and class (line, line2) of every line that takes part, and its normal form `norm`."""
+    lines = docs.select("id", F.xxhash64("text").alias("th"), F.posexplode(normal_lines(F.col("text"))).alias("place", "x"))
+    lines = lines.select("id", "th", F.col("place").cast("long").alias("place"), F.trim("x").alias("norm")).where("norm <> ''")
+    if min_words > 1:
+        lines = lines.where(F.regexp_count("norm", F.lit(" ")) >= min_words - 1)
+    out = lines.select("id", "th", "place", F.xxhash64("norm").alias("line"), F.xxhash64("norm", F.lit(1)).alias("line2"), "norm")
+    if clashing is not None:
+        other = out.join(clashing.withColumn("_again", F.lit(True)), "line", "left")
+        out = other.withColumn("line", F.when(F.col("_again"), F.xxhash64("line", "line2")).otherwise(F.col("line"))).drop("_again")
+    return out
+
+
+def with_words(rows: DataFrame) -> DataFrame:
+    """Rows of normalised lines with `h`, the hashes of their words, and `len` in place of `norm`."""
+    hashed = rows.withColumn("_h", F.explode(F.array(F.transform(F.split("norm", " "), lambda w: F.hash(w)))))
+    return hashed.select(*[c for c in rows.columns if c != "norm"], F.size("_h").cast("long").alias("len"), F.col("_h").alias("h"))
+
+
 def occurrences(docs: DataFrame, min_words: int) -> DataFrame:
-    """Of (id, text): id, th, place and class (line, line2, sim, len) of every line that takes part."""
-
-    def parts(docs: DataFrame) -> DataFrame:
-        # Normalised inside the array, before it is exploded: filters on the parts then find them made, and no
-        # expression is worked out twice.
-        norm = F.transform(F.split("text", "\n", -1), normalised)
-        both = F.transform(norm, lambda n: F.struct(n.alias("norm"), F.split(n, " ").alias("words")))
-        lines = docs.select("id", F.xxhash64("text").alias("th"), F.posexplode(both).alias("place", "x")).where((F.size("x.words") >= min_words) & (F.length("x.norm") > 0))
-        return lines.select("id", "th", F.col("place").cast("long").alias("place"), F.xxhash64("x.norm").alias("line"), F.xxhash64("x.norm", F.lit(1)).alias("line2"), F.size("x.words").cast("long").alias("len"), F.array_distinct("x.words").alias("words"))
-
-    kept = ["id", "th", "place", "line", "line2", "len"]
-    at = F.shiftrightunsigned("h", 48)
-    odd = [F.bit_xor(F.when(F.pmod(at, F.lit(PARITY)) == j, F.call_function("shiftleft", F.lit(1).cast("long"), F.floor(at / PARITY).cast("int") % 64)).otherwise(0)).alias(f"p{j}") for j in range(PARITY)]
-    # The words of a line meet in its own task, where the partial sums make one row of them.
-    short = parts(docs).where(F.size("words") < LANES).withColumn("row", F.monotonically_increasing_id())
-    word = short.select("row", *kept, F.explode("words").alias("w")).withColumn("h", F.xxhash64("w"))
-    counted = word.groupBy("row").agg(*[F.first(c).alias(c) for c in kept], F.count("*").alias("n"), *[F.sum(x).alias(f"c{j}") for j, x in enumerate(lane_counts(F.col("h")))], *odd)
-    out = counted.select(*kept, majority([F.col(f"c{j}") for j in range(LANE)], F.col("n")).alias("sim"), *PARITIES)
-    # Only a text of so many characters can have a line of LANES words.
-    giant = parts(docs.where(F.length("text") >= 2 * LANES - 1))
-    return out.unionByName(giant.where(F.size("words") >= LANES).select(*kept, long_simhash(F.col("words")).alias("sim"), *[F.lit(None).cast("long").alias(p) for p in PARITIES]))
+    """Of (id, text): id, th, place, class, length, words, SimHash and parities of every line that takes part."""
+    return sketched(with_words(placed_lines(docs, min_words)))
+
+
+def classes_of(docs: DataFrame, min_words: int) -> tuple[DataFrame, DataFrame | None]:
+    """(line, len, h, c, sim, parities) of every distinct line, c being how often it occurs; and the hashes that clash."""
+    clashing = None
+    while True:
+        grouped = placed_lines(docs, min_words, clashing).groupBy("line").agg(F.first("norm").alias("norm"), F.count("*").alias("c"), F.min("line2").alias("x"), F.max("line2").alias("y"))
+        out = cut(sketched(with_words(grouped)))
+        if clashing is not None or not out.where("x <> y").limit(1).count():
+            return out.where("x = y").drop("x", "y"), clashing
+        clashing = cut(out.where("x <> y").select("line"))
 
 
 def keyed(classes: DataFrame, blocks: int, taken: int) -> DataFrame:
@@ -133,31 +180,41 @@ def near(a: DataFrame, b: DataFrame, least: float, more: Column) -> DataFrame:
     return a.join(b, "k").where(fits).select(F.least("line_a", "line_b").alias("a"), F.greatest("line_a", "line_b").alias("b")).distinct()
 
 
-def word_pairs(docs: DataFrame, min_words: int) -> DataFrame:
-    """Of (id, text): line, len and the hashes of the pairs of adjacent words of every line of min_words words."""
-    norm = F.transform(F.split("text", "\n", -1), normalised)
-    both = F.transform(norm, lambda n: F.struct(n.alias("norm"), F.transform(F.split(n, " "), lambda w: F.xxhash64(w)).alias("h")))
-    lines = docs.select(F.explode(both).alias("x")).where(F.size("x.h") >= min_words)
-    pairs = F.zip_with("x.h", F.slice("x.h", F.lit(2), F.size("x.h")), lambda a, b: F.xxhash64(a, b))
-    return lines.select(F.xxhash64("x.norm").alias("line"), F.size("x.h").alias("len"), F.slice(pairs, F.lit(1), F.size("x.h") - 1).alias("grams"))
+def grams(h: Column) -> Column:
+    """The hashes of the pairs of adjacent words, of two words at least."""
+    return F.transform(F.sequence(F.lit(0), F.size(h) - 2), lambda i: F.xxhash64(F.get(h, i), F.get(h, i + 1)))
 
 
-def rare_keys(docs: DataFrame, least: float, min_words: int) -> DataFrame:
-    """(line, k): the rarest word pairs of every line, of those that several lines have."""
-    chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
-    some = docs.where(F.pmod(F.xxhash64("text", F.lit(2)), F.lit(-(-chars // SAMPLE_CHARS) or 1)) == 0)
-    seen = word_pairs(some, min_words).select(F.explode("grams").alias("g")).groupBy(F.pmod("g", F.lit(GRAMS)).alias("b")).agg(F.count("*").cast("int").alias("n"))
+def rare_keys(classes: DataFrame, least: float) -> DataFrame:
+    """(line, k): the rarest word pairs of every class."""
+    words = classes.agg(F.sum("len")).first()[0] or 0
+    some = classes.where(F.pmod(F.xxhash64("line", F.lit(2)), F.lit(-(-words * 6 // SAMPLE_CHARS) or 1)) == 0)
+    seen = some.select(F.explode(grams(F.col("h"))).alias("g")).groupBy(F.pmod("g", F.lit(GRAMS)).alias("b")).agg(F.count("*").cast("int").alias("n"))
     counts = bytearray(GRAMS)
     for b, n in seen.collect():
-        counts[b] = min(n, 255)
-    ranked = word_pairs(docs, min_words)
-    # As one binary value, which no row has to carry.
-    order = F.array_sort(F.transform(F.array_distinct("grams"), lambda g: F.struct(F.substring(F.lit(counts), F.pmod(g, F.lit(GRAMS)).cast("int") + 1, F.lit(1)).alias("n"), g.alias("g"))))
+        counts[b] = min(n, 127)
+    # The counter goes into the top of the hash, so that plain numbers are sorted; it is one binary value, which no row has to carry.
+    below = F.lit((1 << 56) - 1)
+
+    def ranked(g: Column) -> Column:
+        seen = F.conv(F.hex(F.substring(F.lit(counts), F.pmod(g, F.lit(GRAMS)).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
+        return F.shiftleft(seen, 56).bitwiseOR(g.bitwiseAND(below))
+
     # Of a line's pairs, repeats count too: without them the prefix is a longer part of the rest, never a shorter one.
     size = F.floor(F.col("len") * F.lit(2 * (1 - least)) + F.lit(1e-9)).cast("int") + 1
-    keys = ranked.select("line", F.explode(F.slice(order, F.lit(1), size)["g"]).alias("k")).repartition("k")
+    return classes.select("line", F.explode(F.slice(F.sort_array(F.array_distinct(F.transform(grams(F.col("h")), ranked))), F.lit(1), size)).alias("k"))
+
+
+def open_keys(classes: DataFrame, roots: DataFrame, least: float) -> DataFrame:
+    """(line, k, c) of the rare word pairs that lines of several groups have, c being how many lines have them."""
+    keys, out = rare_keys(classes, least).join(roots, F.col("line") == F.col("node"), "left").select("line", "k", F.coalesce("root", "line").alias("root")), None
     of_key = Window.partitionBy("k")
-    return keys.withColumn("x", F.min("line").over(of_key)).withColumn("y", F.max("line").over(of_key)).where("x <> y").select("line", "k").distinct()
+    for i in range(SLICES):
+        part = keys.where(F.pmod("k", F.lit(SLICES)) == i).repartition("k")
+        part = part.withColumn("x", F.min("root").over(of_key)).withColumn("y", F.max("root").over(of_key)).withColumn("c", F.count("*").over(of_key))
+        part = cut(part.where("x <> y").select("line", "k", "c"))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def alike(a: DataFrame, b: DataFrame, least: float) -> DataFrame:
@@ -166,84 +223,88 @@ def alike(a: DataFrame, b: DataFrame, least: float) -> DataFrame:
     longer = F.greatest("len_a", "len_b")
     lengths = F.least("len_a", "len_b") >= longer * F.lit(least) - F.lit(1e-9)
     flips = sum((F.bit_count(F.col(f"{p}_a").bitwiseXOR(F.col(f"{p}_b"))) for p in PARITIES), F.lit(0))
-    fits = lengths & (F.col("root_a") != F.col("root_b")) & F.coalesce(flips <= 2 * F.floor(longer * F.lit(1 - least) + F.lit(1e-9)), F.lit(True))
+    fits = lengths & (F.col("root_a") != F.col("root_b")) & (flips <= 2 * F.floor(longer * F.lit(1 - least) + F.lit(1e-9)))
     return a.join(b, "k").where(fits).select(F.least("line_a", "line_b").alias("a"), F.greatest("line_a", "line_b").alias("b")).distinct()
 
 
-def widened(docs: DataFrame, occ: DataFrame, classes: DataFrame, links: DataFrame, roots: DataFrame, least: float, min_words: int) -> DataFrame:
+def rooted(classes: DataFrame, roots: DataFrame, *more: str) -> DataFrame:
+    return classes.join(roots, F.col("line") == F.col("node"), "left").select("line", "len", *more, F.coalesce("root", "line").alias("root"))
+
+
+def widened(classes: DataFrame, links: DataFrame, roots: DataFrame, least: float) -> DataFrame:
     """(node, root) with the links that SimHash misses: centres of each key first, then keys that hold several groups."""
-    keys = cut(rare_keys(docs, least, min_words))
+    keys = open_keys(classes, roots, least)
     for centres in (True, False):
-        rooted = classes.join(roots, F.col("line") == F.col("node"), "left").select("line", "len", *PARITIES, F.coalesce("root", "line").alias("root"))
-        every = keys.join(rooted, "line")
-        count = every.groupBy("k").agg(F.count("*").alias("c"), F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 < r2")
-        every = every.join(count.select("k", "c"), "k")
+        every = keys.join(rooted(classes, roots, *PARITIES), "line")
         if centres:
             some = every.where((F.col("c") <= CENTRES) | (F.pmod(F.xxhash64("line", "k"), F.col("c")) < CENTRES))
         else:
-            some = every = every.where(F.col("c") > CENTRES)
+            count = every.groupBy("k").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 < r2").select("k")
+            some = every = every.where(F.col("c") > CENTRES).join(count, "k")
         pairs = cut(alike(some, every, least))
         if pairs.limit(1).count():
-            links = cut(links.unionByName(linked(docs, occ, pairs, least)))
+            links = cut(links.unionByName(linked(classes, pairs, least)))
             roots = components(links)
     return roots
 
 
-def groups(docs: DataFrame, occ: DataFrame, least: float, min_words: int = 1, whole: bool = False) -> DataFrame:
+def groups(classes: DataFrame, least: float, whole: bool = False) -> DataFrame:
     """(node, root) of all lines in groups of more than one class.
 
-    First every class meets about CENTRES others of each of its buckets, all of them in small ones. Of larger buckets
-    that then still hold several groups, the pairs of different groups are compared.
+    First every class meets about CENTRES others of each of its buckets, all of them in small ones. Of larger buckets that
+    then still hold several groups, the pairs of different groups are compared, unless `whole` finds them by their words.
     """
-    found = occ.groupBy("line").agg(F.first("sim").alias("sim"), F.first("len").alias("len"), *[F.first(p).alias(p) for p in PARITIES], F.min("line2").alias("x"), F.max("line2").alias("y"))
-    classes = found.where("x = y").where(F.col("len") >= min_words).select("line", "sim", "len", *PARITIES)
     blocks, taken = scheme(classes.count())
-    every = keyed(classes.withColumn("root", F.col("line")), blocks, taken)
+    every = keyed(classes.select("line", "len", "sim", F.col("line").alias("root")), blocks, taken)
     large = every.groupBy("k").agg(F.count("*").alias("c")).where(F.col("c") > CENTRES)
     every = every.join(large, "k", "left")
     centres = every.where(F.col("c").isNull() | (F.pmod(F.xxhash64("line", "k"), F.col("c")) < CENTRES))
     pairs = cut(near(centres, every, least, F.col("line_a") != F.col("line_b")))
-    links = cut(linked(docs, occ, pairs, least))
+    links = cut(linked(classes, pairs, least))
     roots = components(links)
-    rooted = classes.join(roots, F.col("line") == F.col("node"), "left").select("line", "sim", "len", F.coalesce("root", "line").alias("root"))
-    rest = keyed(rooted, blocks, taken)
+    if whole:
+        return widened(classes, links, roots, least)
+    rest = keyed(rooted(classes, roots, "sim"), blocks, taken)
     open_k = rest.groupBy("k").agg(F.count("*").alias("c"), F.min("root").alias("r1"), F.max("root").alias("r2")).where((F.col("c") > CENTRES) & (F.col("r1") < F.col("r2"))).select("k")
     rest = rest.join(open_k, "k", "left_semi")
     more = cut(near(rest, rest, least, (F.col("line_a") < F.col("line_b")) & (F.col("root_a") != F.col("root_b"))).join(pairs, ["a", "b"], "left_anti"))
-    extra = cut(linked(docs, occ, more, least))
-    if extra.limit(1).count():
-        links = links.unionByName(extra)
-        roots = components(links)
-    return widened(docs, occ, classes, links, roots, least, min_words) if whole else roots
+    extra = cut(linked(classes, more, least))
+    return components(links.unionByName(extra)) if extra.limit(1).count() else roots
+
 
+def coded(numbers: Column, width: int, charset: str) -> Column:
+    """A string of one code point for each number."""
+    return F.decode(F.unhex(F.array_join(F.transform(numbers, lambda x: F.lpad(F.hex(x), width, "0")), "")), charset)
 
-def coded(norm: Column) -> Column:
-    """A normalised line with one code point, under the surrogates, for each word."""
-    code = F.transform(F.split(norm, " "), lambda w: F.lpad(F.hex(F.pmod(F.xxhash64(w), F.lit(CODES)) + 256), 4, "0"))
-    return F.decode(F.unhex(F.array_join(code, "")), "UTF-16BE")
 
+def linked(classes: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
+    """The pairs that the edit similarity confirms.
 
-def linked(docs: DataFrame, occ: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
-    """The pairs that the edit similarity confirms; lines are fetched from the documents of their first occurrences."""
+    The distance of strings of one code point for each word, of CODES, is a lower bound that costs little; what it lets
+    through is compared with a code for each word of the two lines.
+    """
     ends = pairs.select(F.explode(F.array("a", "b")).alias("line")).distinct()
-    wanted = occ.join(ends, "line", "left_semi").groupBy("line").agg(F.min(F.struct("id", "th", "place")).alias("f"))
-    wanted = wanted.select("line", F.col("f.id").alias("wid"), F.col("f.th").alias("wth"), F.col("f.place").cast("int").alias("place"))
-    held = docs.withColumn("th", F.xxhash64("text"))
-    found = held.join(wanted, held["id"].eqNullSafe(wanted["wid"]) & (held["th"] == wanted["wth"]))
-    norm = found.select("line", coded(normalised(F.get(F.split("text", "\n", -1), F.col("place")))).alias("norm")).dropDuplicates(["line"])
-    both = pairs.join(norm.select(F.col("line").alias("a"), F.col("norm").alias("na")), "a").join(norm.select(F.col("line").alias("b"), F.col("norm").alias("nb")), "b")
-    most = F.floor(F.greatest(F.length("na"), F.length("nb")) * F.lit(1 - least) + F.lit(1e-9)).cast("int")
-    return both.where(F.levenshtein("na", "nb") <= most).select("a", "b")
+    words = classes.join(ends, "line", "left_semi").select("line", "h", coded(F.transform("h", lambda w: F.pmod(w, F.lit(CODES)) + 256), 4, "UTF-16BE").alias("s"))
+    both = pairs.join(words.select(F.col("line").alias("a"), F.col("h").alias("ha"), F.col("s").alias("sa")), "a").join(words.select(F.col("line").alias("b"), F.col("h").alias("hb"), F.col("s").alias("sb")), "b")
+    most = F.floor(F.greatest(F.size("ha"), F.size("hb")) * F.lit(1 - least) + F.lit(1e-9)).cast("int")
+
+    def exact(known: Column) -> Column:
+        own = [coded(F.transform(h, lambda w: F.array_position(known, w) + 0x10000), 8, "UTF-32") for h in ("ha", "hb")]
+        return F.levenshtein(*own) <= most
+
+    few = (F.size(F.array_except("ha", "hb")) <= most) & (F.size(F.array_except("hb", "ha")) <= most)
+    fits = F.when(few, F.when(F.levenshtein("sa", "sb") <= most, bound(F.array_distinct(F.concat("ha", "hb")), exact)))
+    return both.where(F.coalesce(fits, F.lit(False))).select("a", "b")
 
 
 def dropped_lines(docs: DataFrame, least: float = LEAST, min_words: int = MIN_WORDS, whole: bool = False) -> DataFrame:
     """Of (id, text): id, th and the places of the lines to take out, for documents that lose any."""
-    occ = cut(occurrences(docs, 1 if whole else min_words))
-    roots = groups(docs, occ, least, min_words, whole)
+    least_words = 1 if whole else min_words
+    classes, clashing = classes_of(docs, least_words)
+    roots = groups(classes.where(F.col("len") >= min_words), least, whole)
     place = F.struct("id", "th", "place")
-    classes = occ.groupBy("line").agg(F.count("*").alias("c"), F.min("line2").alias("x"), F.max("line2").alias("y")).where("x = y")
-    shared = classes.join(roots, F.col("line") == F.col("node"), "left").where("c > 1 or root is not null").select("line", F.coalesce("root", "line").alias("g"))
-    rows = cut(occ.join(shared, "line").select("id", "th", "place", "g"))
+    shared = cut(classes.join(roots, F.col("line") == F.col("node"), "left").where("c > 1 or root is not null").select("line", F.coalesce("root", "line").alias("g")))
+    rows = cut(placed_lines(docs, least_words, clashing).select("id", "th", "place", "line").join(shared, "line").select("id", "th", "place", "g"))
     first = rows.groupBy("g").agg(F.min(place).alias("keep"))
     out = rows.join(first, "g").where(~place.eqNullSafe(F.col("keep")))
     return out.groupBy("id", "th").agg(F.collect_set(F.col("place").cast("int")).alias("places"))

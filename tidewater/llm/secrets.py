@@ -21,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import bound, cut
 
 MOST_STRINGS = 64
 # Candidates are rows of a hash and a bit mask, 64 bytes at most in a broadcast: so many of them take 64 MB.
@@ -136,11 +136,6 @@ def _members(parts) -> set[str] | None:
     return out if len(out) <= 8 else None
 
 
-def bound(value: Column, use) -> Column:
-    """use(value) with the value worked out once, however often `use` names it, also in functions over arrays."""
-    return F.get(F.transform(F.array(value), use), 0)
-
-
 def running(values: Column) -> Column:
     """The sum of all values before each, by appending, which copies the array."""
     begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
