@@ -1,16 +1,17 @@
 """Document fingerprints: threshold-scaled sketches, in SQL functions alone.
 
-A fingerprint retains every hash of a text's distinct shingles of WIDTH words below a fixed fraction of the hash range,
-so fingerprints of any two texts compare over the same part of the range and merge by union. So that short texts are
-comparable to others of like size, the FLOOR smallest hashes are retained in any case; each sketch is then complete up to
-a limit of its own, and two sketches are compared up to the smaller limit. Against a long text that limit is 1 / ONE_IN
-of the range: a short text of n shingles has no hash there with a chance of (1 - 1 / ONE_IN) ** n (53% for 20 shingles,
-4% for 100), and its likeness is then 0 even where the long text holds all of it. The estimate is the containment of the smaller sketch in the
-other. A text of fewer words than WIDTH has its whole sequence of words as its one shingle.
-
-Null counts as empty; texts without words have empty sketches, which are alike (1) to each other and to nothing else.
-Next documents follow ascending ids, null first, ties by the hash of the text; the last is followed by the first. Only
-id and text are read, so other columns may have any names. Ids must be integers.
+A fingerprint retains every hash of a text's distinct shingles of WIDTH words that lies below the fraction 1 / ONE_IN of
+the hash range, whatever the size of the text. So fingerprints of any two texts, however unequal, compare over the same
+part of the range, and merge by union. The likeness of two is the share of the smaller one's hashes that the other has:
+an estimate of the containment of the smaller text in the larger, with a standard error of sqrt(c (1 - c) / hashes). A text
+of fewer words than WIDTH has its whole sequence of words as its one shingle.
+
+A text of n distinct shingles has an empty fingerprint with a chance of (1 - 1 / ONE_IN) ** n (6% for 10, 0.3% for 20). Two
+empty fingerprints are equal and have a likeness of 1, which says nothing of the texts; an empty and another one have 0.
+
+Null counts as empty; a table without rows gives none. Next documents follow ascending ids, null first, ties by the hash
+of the text; the last is followed by the first, a single document by itself. Only id and text are read, so other columns
+may have any names. Ids must be integers. Repeated rows each keep their own row.
 """
 
 from __future__ import annotations
@@ -20,44 +21,39 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import bound
+
 WIDTH = 5
-ONE_IN = 32
-FLOOR = 32
+ONE_IN = 4
 BELOW = -(1 << 63) + (1 << 64) // ONE_IN
-TOP = (1 << 63) - 1
 
 
-def with_sketch(df: DataFrame, text: str, name: str) -> DataFrame:
-    """df with `name`: struct<hashes: sorted array<long>, upto: long>. Columns that begin with `_` are scratch."""
-    words = F.filter(F.split(F.lower(F.col(text)), r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    df = df.withColumn("_w", words).withColumn("_h", F.transform("_w", lambda w: F.xxhash64(w)))
-    n = F.size("_h")
-    many = F.transform(F.sequence(F.lit(0), n - WIDTH), lambda i: F.xxhash64(*[F.get("_h", i + k) for k in range(WIDTH)]))
-    one = F.array(F.xxhash64(F.array_join("_w", " ")))
-    df = df.withColumn("_s", F.when(n >= WIDTH, many).when(n > 0, one).otherwise(F.array().cast("array<long>")))
-    df = df.withColumn("_low", F.array_distinct(F.filter("_s", lambda x: x < F.lit(BELOW))))
-    enough = F.size("_low") >= FLOOR
-    df = df.withColumn("_k", F.when(enough, F.sort_array("_low")).otherwise(F.slice(F.sort_array(F.array_distinct("_s")), 1, FLOOR)))
-    upto = F.when(enough, F.lit(BELOW - 1)).when(F.size("_k") < FLOOR, F.lit(TOP)).otherwise(F.get("_k", F.lit(FLOOR - 1)))
-    return df.withColumn(name, F.struct(F.col("_k").alias("hashes"), upto.cast("long").alias("upto"))).drop("_w", "_h", "_s", "_low", "_k")
+def sketch(text: Column) -> Column:
+    """The fingerprint of a text: its shingle hashes below BELOW, as a sorted array<long>."""
+    hashes = F.transform(F.filter(F.split(F.lower(text), r"[\x20\x09-\x0D]+"), lambda w: w != ""), lambda w: F.xxhash64(w))
+
+    def shingles(h: Column) -> Column:
+        many = F.transform(F.sequence(F.lit(0), F.size(h) - WIDTH), lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(WIDTH)]))
+        # A short text's one shingle: null words leave a hash as it is, so the number of words tells the sizes apart.
+        one = F.array(F.xxhash64(F.size(h), *[F.get(h, F.lit(k)) for k in range(WIDTH - 1)]))
+        return F.when(F.size(h) >= WIDTH, many).when(F.size(h) > 0, one).otherwise(F.array().cast("array<long>"))
+
+    return F.sort_array(F.array_distinct(F.filter(bound(hashes, shingles), lambda x: x < F.lit(BELOW))))
 
 
 def likeness(a: Column, b: Column) -> Column:
     """The estimated containment of the smaller of two sketches in the other."""
-    upto = F.least(a["upto"], b["upto"])
-    x, y = F.filter(a["hashes"], lambda h: h <= upto), F.filter(b["hashes"], lambda h: h <= upto)
-    least = F.least(F.size(x), F.size(y))
-    return F.when(least > 0, F.size(F.array_intersect(x, y)) / least).when(a["hashes"] == b["hashes"], 1.0).otherwise(0.0)
+    least = F.least(F.size(a), F.size(b))
+    return F.when(least > 0, F.size(F.array_intersect(a, b)) / least).otherwise((F.size(a) == F.size(b)).cast("double"))
 
 
 def merged(a: Column, b: Column) -> Column:
     """The sketch of two texts' shingles together."""
-    upto = F.least(a["upto"], b["upto"])
-    return F.struct(F.filter(F.sort_array(F.array_union(a["hashes"], b["hashes"])), lambda h: h <= upto).alias("hashes"), upto.alias("upto"))
+    return F.sort_array(F.array_union(a, b))
 
 
 def as_text(sketch: Column) -> Column:
-    return F.concat_ws(",", F.transform(sketch["hashes"], F.hex))
+    return F.concat_ws(",", F.transform(sketch, F.hex))
 
 
 def followed(docs: DataFrame, doc_id: str, text: str, rows: int = 4000, most_rows: int = 200_000) -> DataFrame:
@@ -88,7 +84,7 @@ def followed(docs: DataFrame, doc_id: str, text: str, rows: int = 4000, most_row
     before = F.when(first_of, F.struct((bucket - 1).cast("int").alias("b"), F.lit(1).alias("place")))
     around = F.when(first, F.struct(F.lit(len(splits)).alias("b"), F.lit(2).alias("place")))
     copies = F.filter(F.array(here, before, around), lambda x: x.isNotNull())
-    dealt = with_sketch(base, "text", "sketch").withColumn("_p", F.explode(copies)).select("id", "text", "sketch", "_p.b", "_p.place")
+    dealt = base.withColumn("_s", F.explode(F.array(sketch(F.col("text"))))).withColumn("_p", F.explode(copies)).select("id", "text", F.col("_s").alias("sketch"), "_p.b", "_p.place")
     order = Window.partitionBy("b").orderBy("place", F.col("id").asc_nulls_first(), F.xxhash64("text"))
     out = dealt.withColumn("next_text", F.lead("text").over(order)).withColumn("next_sketch", F.lead("sketch").over(order))
     return out.where("place = 0").select("id", "text", "sketch", "next_text", "next_sketch")
@@ -100,7 +96,7 @@ def op10_fingerprint(spark, sf_dir: str) -> DataFrame:
     n = F.length("text")
     cut = F.floor(n / 4).cast("int")
     docs = docs.withColumn("n", n).withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), n - cut), F.substring(F.col("next_text"), F.lit(1), cut)))
-    docs = with_sketch(docs.select("id", "n", "edited", "sketch", "next_sketch"), "edited", "edited_sketch")
+    docs = docs.select("id", "n", "edited", "sketch", "next_sketch", F.explode(F.array(sketch(F.col("edited")))).alias("edited_sketch"))
     return docs.select(
         F.col("id").alias("doc_id"),
         F.col("n").cast("long").alias("n_chars"),
