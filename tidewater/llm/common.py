@@ -38,16 +38,20 @@ def shared_dir(spark: SparkSession) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """The same rows, computed once and kept in the shared checkpoint folder.
 
-    What led there is then released: shuffle files stay on the executors' disks until the driver collects the plans that
-    refer to them, so a job of many steps would otherwise hold the files of them all.
+    What led to earlier steps is released first: shuffle files stay on the executors' disks until the driver collects the
+    plans that refer to them, so a job of many steps would otherwise hold the files of them all. The plan of the step just
+    taken is still held by the caller when this returns; the next step releases it.
     """
     spark = df.sparkSession
     shared_dir(spark)
-    out = df.checkpoint(eager=True)
-    del df
+    release(spark)
+    return df.checkpoint(eager=True)
+
+
+def release(spark: SparkSession) -> None:
+    """Let go of the shuffle files of plans that nothing refers to any more."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
-    return out
 
 
 def bound(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -55,6 +59,12 @@ def bound(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), 0)
 
 
+def small(df: DataFrame, most: int = 32 << 20) -> DataFrame:
+    """df, to be broadcast if its values take at most `most` bytes, which is measured; else as it is."""
+    size = sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) + 16 for c in df.columns), F.lit(16))
+    return F.broadcast(df) if (df.agg(F.sum(size.cast("long"))).first()[0] or 0) <= most else df
+
+
 def chunks(texts: Iterable[str | None], limit: int) -> Iterator[tuple[int, int]]:
     """Consecutive index ranges whose texts hold about `limit` characters; a longer text stands alone."""
     start, held, n = 0, 0, 0
