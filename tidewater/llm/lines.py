@@ -12,13 +12,13 @@ out of their documents.
 SimHash reaches few of the pairs at `least`, as one changed word of a short line flips many bits. With `whole`, which the
 queries set, an exact join finds the rest: a line of n words and one within the similarity share one of the
 floor(2 (1 - least) n) + 1 rarest pairs of adjacent words of each, as an edit breaks two such pairs at most. Rarity is
-read from a sketch of GRAMS counters over a sample; any order gives the same pairs. SimHash has joined the large groups by
+that of the two words, read from COUNTERS counters over a sample of SAMPLE_WORDS words; any order gives the same links. SimHash has joined the large groups by
 then, and a pair of words whose lines all lie in one group is passed over. Candidates whose words differ in more bits of a
 parity sketch than the edits allowed can flip fall inside the join. With `whole`, lines of fewer than `min_words` words
 take part too, as exact copies only.
 
 More blocks make longer join keys, so the number of blocks follows the number of classes; the pairs found do not depend
-on it. Edits are of words, compared by 32-bit hashes. Of lines that differ but share the 64-bit hash of their class, those
+on it. Edits are of words, compared by 32-bit hashes and two codes of CODES. Of lines that differ but share the 64-bit hash of their class, those
 are classes of another hash.
 
 Null and empty texts have no lines and stay as they are; an empty table stays empty. Rows equal in id and text count as
@@ -28,6 +28,7 @@ Lines of any length take part: SimHash counters of 8, 16 or 64 bits are chosen b
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
@@ -39,9 +40,9 @@ RADIUS = 3
 LEAST = 0.8
 MIN_WORDS = 5
 CENTRES = 4
-CODES = 0xD700
-GRAMS = 1 << 18
-SAMPLE_CHARS = 25_000_000
+CODES = 0xC800
+COUNTERS = 1 << 18
+SAMPLE_WORDS = 10_000_000
 SLICES = 2
 PARITY = 4
 PARITIES = [f"p{j}" for j in range(PARITY)]
@@ -51,8 +52,8 @@ UNSPACED = r"([\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhme
 def normal_lines(text: Column) -> Column:
     """The normalised lines of a whole text, some of them empty, with a space at either end perhaps."""
     low = F.lower(text)
-    # Letters of the scripts without spaces take three bytes.
-    apart = F.when((F.octet_length(low) >= F.length(low) + 2) & low.rlike(UNSPACED), F.regexp_replace(low, UNSPACED, " $1 ")).otherwise(low)
+    # Letters of the scripts without spaces take three bytes, and lie beyond all that is cheap to tell.
+    apart = F.when((F.octet_length(low) >= F.length(low) + 2) & low.rlike(r"[\x{0E00}-\x{10FFFF}]"), F.regexp_replace(low, UNSPACED, " $1 ")).otherwise(low)
     return F.split(F.regexp_replace(apart, r"[^\p{L}\p{Nd}\n]+", " "), "\n", -1)
 
 
@@ -180,33 +181,38 @@ def near(a: DataFrame, b: DataFrame, least: float, more: Column) -> DataFrame:
     return a.join(b, "k").where(fits).select(F.least("line_a", "line_b").alias("a"), F.greatest("line_a", "line_b").alias("b")).distinct()
 
 
-def grams(h: Column) -> Column:
-    """The hashes of the pairs of adjacent words, of two words at least."""
-    return F.transform(F.sequence(F.lit(0), F.size(h) - 2), lambda i: F.xxhash64(F.get(h, i), F.get(h, i + 1)))
+def word_ranks(classes: DataFrame) -> bytes:
+    """For each of COUNTERS buckets of words 8 log2(1 + n), 127 at most, n being how often they occur in a sample of classes."""
+    words = classes.agg(F.sum("len")).first()[0] or 0
+    some = classes.where(F.pmod(F.xxhash64("line", F.lit(2)), F.lit(-(-words // SAMPLE_WORDS) or 1)) == 0)
+    seen = some.select(F.explode("h").alias("w")).groupBy(F.pmod("w", F.lit(COUNTERS)).alias("b")).agg(F.count("*").alias("n")).collect()
+    out = bytearray(COUNTERS)
+    for b, n in seen:
+        out[b] = min(127, int(8 * math.log2(1 + n)))
+    return bytes(out)
 
 
 def rare_keys(classes: DataFrame, least: float) -> DataFrame:
     """(line, k): the rarest word pairs of every class."""
-    words = classes.agg(F.sum("len")).first()[0] or 0
-    some = classes.where(F.pmod(F.xxhash64("line", F.lit(2)), F.lit(-(-words * 6 // SAMPLE_CHARS) or 1)) == 0)
-    seen = some.select(F.explode(grams(F.col("h"))).alias("g")).groupBy(F.pmod("g", F.lit(GRAMS)).alias("b")).agg(F.count("*").cast("int").alias("n"))
-    counts = bytearray(GRAMS)
-    for b, n in seen.collect():
-        counts[b] = min(n, 127)
-    # The counter goes into the top of the hash, so that plain numbers are sorted; it is one binary value, which no row has to carry.
-    below = F.lit((1 << 56) - 1)
-
-    def ranked(g: Column) -> Column:
-        seen = F.conv(F.hex(F.substring(F.lit(counts), F.pmod(g, F.lit(GRAMS)).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
-        return F.shiftleft(seen, 56).bitwiseOR(g.bitwiseAND(below))
+    # One binary value, which no row has to carry.
+    ranks = F.lit(word_ranks(classes))
+    rank = lambda w: F.ascii(F.substring(ranks, F.pmod(w, F.lit(COUNTERS)) + 1, F.lit(1)).cast("string"))
+
+    def ranked(r: Column) -> Column:
+        # The rank goes into the top of the hash, so that plain numbers are sorted.
+        gram = F.transform(F.sequence(F.lit(0), F.size("h") - 2), lambda i: F.xxhash64(F.get("h", i), F.get("h", i + 1)).bitwiseAND(F.lit((1 << 55) - 1)).bitwiseOR(F.shiftleft((F.get(r, i) + F.get(r, i + 1)).cast("long"), 55)))
+        return F.sort_array(F.array_distinct(gram))
 
     # Of a line's pairs, repeats count too: without them the prefix is a longer part of the rest, never a shorter one.
     size = F.floor(F.col("len") * F.lit(2 * (1 - least)) + F.lit(1e-9)).cast("int") + 1
-    return classes.select("line", F.explode(F.slice(F.sort_array(F.array_distinct(F.transform(grams(F.col("h")), ranked))), F.lit(1), size)).alias("k"))
+    return classes.select("line", F.explode(F.slice(bound(F.transform("h", rank), ranked), F.lit(1), size)).alias("k"))
 
 
 def open_keys(classes: DataFrame, roots: DataFrame, least: float) -> DataFrame:
-    """(line, k, c) of the rare word pairs that lines of several groups have, c being how many lines have them."""
+    """(line, k, c) of the rare word pairs that lines of several groups have, c being how many lines have them.
+
+    The keys are dealt with in SLICES parts, one after the other, so that the disks hold the shuffle of one part only.
+    """
     keys, out = rare_keys(classes, least).join(roots, F.col("line") == F.col("node"), "left").select("line", "k", F.coalesce("root", "line").alias("root")), None
     of_key = Window.partitionBy("k")
     for i in range(SLICES):
@@ -272,29 +278,28 @@ def groups(classes: DataFrame, least: float, whole: bool = False) -> DataFrame:
     return components(links.unionByName(extra)) if extra.limit(1).count() else roots
 
 
-def coded(numbers: Column, width: int, charset: str) -> Column:
-    """A string of one code point for each number."""
-    return F.decode(F.unhex(F.array_join(F.transform(numbers, lambda x: F.lpad(F.hex(x), width, "0")), "")), charset)
+def coded(h: Column, seed: int) -> Column:
+    """A string of one code point, of CODES under the surrogates, for each word."""
+    code = F.transform(h, lambda w: F.hex(F.pmod(F.xxhash64(w, F.lit(seed)), F.lit(CODES)) + 0x1000))
+    return F.decode(F.unhex(F.array_join(code, "")), "UTF-16BE")
 
 
 def linked(classes: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
     """The pairs that the edit similarity confirms.
 
-    The distance of strings of one code point for each word, of CODES, is a lower bound that costs little; what it lets
-    through is compared with a code for each word of the two lines.
+    What one line has and the other lacks bounds the edits from below at little cost. The distance is that of strings of one
+    code point for each word, by two codes of its hash, both of which have to agree.
     """
     ends = pairs.select(F.explode(F.array("a", "b")).alias("line")).distinct()
-    words = classes.join(ends, "line", "left_semi").select("line", "h", coded(F.transform("h", lambda w: F.pmod(w, F.lit(CODES)) + 256), 4, "UTF-16BE").alias("s"))
-    both = pairs.join(words.select(F.col("line").alias("a"), F.col("h").alias("ha"), F.col("s").alias("sa")), "a").join(words.select(F.col("line").alias("b"), F.col("h").alias("hb"), F.col("s").alias("sb")), "b")
-    most = F.floor(F.greatest(F.size("ha"), F.size("hb")) * F.lit(1 - least) + F.lit(1e-9)).cast("int")
+    words = classes.join(ends, "line", "left_semi").select("line", "h")
+    both = pairs.join(words.select(F.col("line").alias("a"), F.col("h").alias("ha")), "a").join(words.select(F.col("line").alias("b"), F.col("h").alias("hb")), "b")
+    both = both.withColumn("most", F.floor(F.greatest(F.size("ha"), F.size("hb")) * F.lit(1 - least) + F.lit(1e-9)).cast("int"))
+    few = (F.size(F.array_except("ha", "hb")) <= F.col("most")) & (F.size(F.array_except("hb", "ha")) <= F.col("most"))
 
-    def exact(known: Column) -> Column:
-        own = [coded(F.transform(h, lambda w: F.array_position(known, w) + 0x10000), 8, "UTF-32") for h in ("ha", "hb")]
-        return F.levenshtein(*own) <= most
+    def close(seed: int) -> Column:
+        return F.call_function("levenshtein", coded(F.col("ha"), seed), coded(F.col("hb"), seed), F.col("most")) >= 0
 
-    few = (F.size(F.array_except("ha", "hb")) <= most) & (F.size(F.array_except("hb", "ha")) <= most)
-    fits = F.when(few, F.when(F.levenshtein("sa", "sb") <= most, bound(F.array_distinct(F.concat("ha", "hb")), exact)))
-    return both.where(F.coalesce(fits, F.lit(False))).select("a", "b")
+    return both.where(F.when(few, F.when(close(0), close(1)).otherwise(F.lit(False))).otherwise(F.lit(False))).select("a", "b")
 
 
 def dropped_lines(docs: DataFrame, least: float = LEAST, min_words: int = MIN_WORDS, whole: bool = False) -> DataFrame:
