@@ -3,12 +3,13 @@
 Features are character n-grams of orders 1 to 4 of the lower-cased text, hashed to `DIM` buckets; a weight is the
 n-gram's share of its text times its inverse document frequency. Document frequencies are counted over all rows that
 may be learned from. The weights of the classes are fitted by follow-the-regularised-leader with an elastic-net penalty
-on a sample of about `per_class` labelled rows for each language (the documented bound on what is fitted), and a
-temperature is fitted on the fifth of that sample which the fit does not see.
+on a sample of about `per_class` labelled rows and `chars` characters for each language (the documented bounds on what is
+fitted), and a temperature is fitted on the fifth of that sample which the fit does not see.
 
-A text that is null, empty or has no letter is `und` with score 0. With nothing to learn from, every text is `und`.
-Rows keep all their columns; `lang_pred` and `lang_score` replace columns of those names. Rows whose label or id is null
-are never learned from.
+A text that is null, empty or has no letter is `und` with score 0. With nothing to learn from, every text is `und`. Ties go
+to the language that comes first by code point. Repeated rows weigh as often as they occur, and are scored alike; very long
+texts are read whole, when scored and when sampled. Rows keep all their columns; `lang_pred` and `lang_score` replace columns
+of those names. Rows whose label or id is null are never learned from.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ DIM = 1 << 16
 ORDERS = 4
 CHUNK = 400_000
 PER_CLASS = 1500
+CHARS = 6_000_000
 SCALE = 20.0
 UNKNOWN = "und"
 FOLD = np.arange(128, dtype=np.uint32)
@@ -141,39 +143,63 @@ def temperature(z: np.ndarray, target: np.ndarray) -> float:
     return float(min(np.geomspace(0.25, 4.0, 49), key=loss))
 
 
-def fit(train: DataFrame, per_class: int = PER_CLASS) -> Model | None:
-    """A model of rows (id, text, lang); about per_class rows of each language are fitted, chosen by their id's hash."""
-    sizes = {r["lang"]: r["n"] for r in train.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+def features(text: str, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of a text and their weights; the last is the bias."""
+    points, _ = codes([text])
+    total = np.zeros(DIM + 1)
+    for b in grams(points):
+        total += np.bincount(b, minlength=DIM + 1)
+    total[DIM] = 0
+    at = np.flatnonzero(total)
+    x = total[at] * idf[at] * (SCALE / (ORDERS * max(1, len(points) - ORDERS + 1)))
+    return np.append(at, DIM), np.append(x, 1.0)
+
+
+def fit(train: DataFrame, per_class: int = PER_CLASS, chars: int = CHARS) -> Model | None:
+    """A model of rows (id, text, lang); about per_class rows of each language, and at most about `chars` characters of it,
+    are fitted, chosen by their id's hash. The fit runs in one task of an executor, and only the model comes to the driver."""
+    sizes = {r["lang"]: (r["n"], r["c"]) for r in train.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("c")).collect()}
     if not sizes:
         return None
     df = document_frequencies(train)
     idf = np.log((1 + df[DIM]) / (1 + df)) + 1
     idf[DIM] = 0
-    share = F.coalesce(*[F.when(F.col("lang") == k, F.lit(min(1.0, per_class / v))) for k, v in sizes.items()])
-    chosen = F.pmod(F.xxhash64("id"), F.lit(1_000_003)) < share * 1_000_003
-    sample = train.where(chosen).select("text", "lang", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(5)).alias("part"), F.xxhash64("id", F.lit(2)).alias("o")).toPandas().sort_values(["o", "text"])
     labels = sorted(sizes)
-    rows = []
-    for t in sample["text"]:
-        points, _ = codes([t])
-        total = np.zeros(DIM + 1)
-        for b in grams(points):
-            total += np.bincount(b, minlength=DIM + 1)
-        total[DIM] = 0
-        at = np.flatnonzero(total)
-        x = total[at] * idf[at] * (SCALE / (ORDERS * max(1, len(points) - ORDERS + 1)))
-        rows.append((np.append(at, DIM), np.append(x, 1.0)))
-    target = np.array([labels.index(x) for x in sample["lang"]], dtype=np.int64)
-    part = sample["part"].to_numpy()
-    fitted = np.flatnonzero(part != 0)
-    weights, bias = ftrl([rows[i] for i in fitted], target[fitted], len(labels))
-    weights[DIM] = 0
-    model = Model(labels, weights * idf[:, None], bias, 1.0)
-    back = np.flatnonzero(part == 0)
-    texts = sample["text"].tolist()
-    z = np.concatenate([model.logits(texts[i : i + 1]) for i in back]) if len(back) else np.zeros((0, len(labels)))
-    model.temperature = temperature(z, target[back])
-    return model
+    known = train.sparkSession.sparkContext.broadcast(idf)
+    share = F.coalesce(*[F.when(F.col("lang") == k, F.lit(min(1.0, per_class / n, chars / max(c, 1)))) for k, (n, c) in sizes.items()])
+    chosen = train.where(F.pmod(F.xxhash64("id"), F.lit(1_000_003)) < share * 1_000_003)
+
+    def weighted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for i in range(len(frame)):
+                row = frame.iloc[i]
+                at, x = features(row["text"], known.value)
+                yield pd.DataFrame({"at": [at], "x": [x], "lang": [row["lang"]], "back": [row["back"]], "o": [row["o"]]})
+
+    def fitted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows, names, held = [], [], []
+        for frame in frames:
+            rows += [(np.asarray(a), np.asarray(x)) for a, x in zip(frame["at"], frame["x"], strict=True)]
+            names += frame["lang"].tolist()
+            held += frame["back"].tolist()
+        if rows:
+            target, part = np.array([labels.index(x) for x in names], dtype=np.int64), np.array(held)
+            weights, bias = ftrl([rows[i] for i in np.flatnonzero(~part)], target[~part], len(labels))
+            weights[DIM] = 0
+            back = np.flatnonzero(part)
+            z = np.array([rows[i][1] @ weights[rows[i][0]] + bias for i in back]).reshape(len(back), len(labels))
+            heat = temperature(z, target[back])
+            yield pd.DataFrame({"weights": [(weights * known.value[:, None]).tobytes()], "bias": [bias.tobytes()], "heat": [heat]})
+
+    o = F.xxhash64("id", F.lit(2), "text").alias("o")
+    sample = chosen.select("text", "lang", (F.pmod(F.xxhash64("id", F.lit(1)), F.lit(5)) == 0).alias("back"), o)
+    sample = sample.mapInPandas(weighted, "at array<int>, x array<double>, lang string, back boolean, o long")
+    got = sample.repartition(1).sortWithinPartitions("o", "lang").drop("o").mapInPandas(fitted, "weights binary, bias binary, heat double").first()
+    known.destroy()
+    if got is None:
+        return None
+    weights = np.frombuffer(bytes(got["weights"])).reshape(DIM + 1, len(labels))
+    return Model(labels, weights, np.frombuffer(bytes(got["bias"])), got["heat"])
 
 
 def identify(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
