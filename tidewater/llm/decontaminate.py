@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 
 from .common import alnum_words, cut
 
-BLOCK_CHARS = 24_000_000
+# An index takes about 44 MB a million characters, in the driver and in each Python worker.
+BLOCK_CHARS = 4_000_000
 HITS = "struct<n_words:bigint,ranges:array<struct<first:bigint,past:bigint>>,items:array<struct<item_id:string,found:bigint,total:bigint,containment:double,longest:bigint>>>"
 
 
