@@ -254,24 +254,34 @@ def widened(classes: DataFrame, links: DataFrame, roots: DataFrame, least: float
     return roots
 
 
+def stars(classes: DataFrame, blocks: int, taken: int, least: float) -> DataFrame:
+    """Pairs (a, b), a < b, of the smallest and the largest class of each bucket with the others of it, as `near` has them.
+
+    The two ends of a bucket are found by an aggregate, so a bucket of very many classes needs no task of its own.
+    """
+    every = keyed(classes.select("line", "sim", "len"), blocks, taken)
+    one = F.struct("line", "sim", "len")
+    ends = every.groupBy("k").agg(F.min(one).alias("lo"), F.max(one).alias("hi")).where("lo.line < hi.line")
+    met = every.join(ends, "k").select("line", "sim", "len", F.explode(F.array("lo", "hi")).alias("o"))
+    lengths = F.least("len", "o.len") >= F.greatest("len", "o.len") * F.lit(least) - F.lit(1e-9)
+    fits = (F.col("line") != F.col("o.line")) & (F.bit_count(F.col("sim").bitwiseXOR(F.col("o.sim"))) <= RADIUS) & lengths
+    return met.where(fits).select(F.least("line", "o.line").alias("a"), F.greatest("line", "o.line").alias("b")).distinct()
+
+
 def groups(classes: DataFrame, least: float, whole: bool = False) -> DataFrame:
     """(node, root) of all lines in groups of more than one class.
 
-    First every class meets about CENTRES others of each of its buckets, all of them in small ones. Of larger buckets that
-    then still hold several groups, the pairs of different groups are compared, unless `whole` finds them by their words.
+    First every class meets the two ends of each of its buckets, which are all others in buckets of three. Of larger buckets
+    that then still hold several groups, the pairs of different groups are compared, unless `whole` finds them by their words.
     """
     blocks, taken = scheme(classes.count())
-    every = keyed(classes.select("line", "len", "sim", F.col("line").alias("root")), blocks, taken)
-    large = every.groupBy("k").agg(F.count("*").alias("c")).where(F.col("c") > CENTRES)
-    every = every.join(large, "k", "left")
-    centres = every.where(F.col("c").isNull() | (F.pmod(F.xxhash64("line", "k"), F.col("c")) < CENTRES))
-    pairs = cut(near(centres, every, least, F.col("line_a") != F.col("line_b")))
+    pairs = cut(stars(classes, blocks, taken, least))
     links = cut(linked(classes, pairs, least))
     roots = components(links)
     if whole:
         return widened(classes, links, roots, least)
     rest = keyed(rooted(classes, roots, "sim"), blocks, taken)
-    open_k = rest.groupBy("k").agg(F.count("*").alias("c"), F.min("root").alias("r1"), F.max("root").alias("r2")).where((F.col("c") > CENTRES) & (F.col("r1") < F.col("r2"))).select("k")
+    open_k = rest.groupBy("k").agg(F.count("*").alias("c"), F.min("root").alias("r1"), F.max("root").alias("r2")).where((F.col("c") > 3) & (F.col("r1") < F.col("r2"))).select("k")
     rest = rest.join(open_k, "k", "left_semi")
     more = cut(near(rest, rest, least, (F.col("line_a") < F.col("line_b")) & (F.col("root_a") != F.col("root_b"))).join(pairs, ["a", "b"], "left_anti"))
     extra = cut(linked(classes, more, least))
