@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import gc
 import math
+import re
 import tempfile
+import time
 from collections.abc import Callable, Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,13 +28,15 @@ def alnum_words(text: str | None) -> list[bytes]:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder for checkpoints: the cluster's, or a temporary one where none is set (local tests)."""
+    """The folder for checkpoints: the cluster's. Only a local session, as in tests, gets a temporary one where none is set."""
     sc = spark.sparkContext
     found = sc.getCheckpointDir()
     if not found:
-        found = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidewater-")
-        sc.setCheckpointDir(found)
-    return found
+        found = spark.conf.get("spark.checkpoint.dir", None)
+        if not found and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(found or tempfile.mkdtemp(prefix="tidewater-"))
+    return found or sc.getCheckpointDir()
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -49,9 +53,14 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Let go of the shuffle files of plans that nothing refers to any more."""
+    """Let go of the shuffle files of plans that nothing refers to any more.
+
+    The first collection of the driver's JVM frees what holds the plans, only the next finds the shuffles free.
+    """
     gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.05)
 
 
 def bound(value: Column, use: Callable[[Column], Column]) -> Column:
