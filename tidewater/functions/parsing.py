@@ -6,10 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Cells that mean "no value": fixed values, compared in lower case.
-MISSING = ("", "na", "n/a", "nan", "null", "none", "nil", "-", "--", "?", ".", "missing", "#n/a")
+MISSING = ("", "na", "n/a", "n.a.", "nan", "null", "none", "nil", "-", "--", "missing", "?", "#n/a", "#value!", "#ref!", "#div/0!")
 CURRENCY = r"[$€£¥₹]"
 PLAIN = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
-TIMES = ("yyyy/MM/dd", "yyyy/MM/dd HH:mm:ss", "yyyy/MM/dd HH:mm", "dd MMM yyyy", "d MMM yyyy", "MMM d, yyyy", "MMMM d, yyyy", "yyyy.MM.dd", "yyyyMMdd", "dd-MMM-yyyy")
+# Written forms of times that are read: fixed values.
+TIMES = ("yyyy/MM/dd", "yyyy/MM/dd HH:mm", "yyyy/MM/dd HH:mm:ss", "yyyyMMdd", "d MMM yyyy", "d MMMM yyyy", "MMM d yyyy", "MMMM d yyyy", "MMM d, yyyy", "MMMM d, yyyy", "d-MMM-yyyy", "d-MMMM-yyyy")
 
 
 def parse_number(cell: Column, comma: Column | str | None = None) -> Column:
@@ -63,5 +64,5 @@ def parse_time(cell: Column, day_first: Column | bool | None = None) -> Column:
     ambiguous = F.when(day, F.try_to_timestamp(parts, F.lit("d/M/yyyy"))).when(~day, F.try_to_timestamp(parts, F.lit("M/d/yyyy")))
     epoch = F.when(s.rlike(r"^\d{10}$"), F.timestamp_seconds(s.try_cast("long"))).when(s.rlike(r"^\d{13}$"), F.timestamp_millis(s.try_cast("long")))
     iso = F.when(s.rlike(r"^\d{4}-\d{2}"), s.try_cast("timestamp"))
-    forms = [F.when(s.rlike(r"[/,.A-Za-z ]") | s.rlike(r"^\d{8}$"), F.try_to_timestamp(s, F.lit(f))) for f in TIMES]
+    forms = [F.when(s.rlike(r"[/,A-Za-z -]") | s.rlike(r"^\d{8}$"), F.try_to_timestamp(s, F.lit(f))) for f in TIMES]
     return F.coalesce(epoch, iso, F.when(first.isNotNull(), ambiguous), *forms).cast("timestamp_ntz")

@@ -5,39 +5,102 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..frames import by_series, indexed
-from ..functions.stats import guarded_corr, with_robust_scale
+from ..frames import by_series, indexed, materialised
+from ..functions.stats import MAD_SCALE, TINY, guarded_corr, with_robust_scale
 from . import windows
 
 THRESHOLD = 3.5
 
 
 def anomaly_score(df: DataFrame, season: int = 1, threshold: float = THRESHOLD) -> DataFrame:
-    """Robust z of every row within its phase of the season; `anomalous` from the threshold on."""
-    d = df.withColumn("phase", F.col("idx") % season)
-    s = with_robust_scale(d, keys=("series", "phase"))
-    z = F.when(F.col("scale") > 1e-12, (F.col("value") - F.col("med")) / F.col("scale")).otherwise(0.0)
-    return d.join(s, ["series", "phase"]).withColumn("z", z).withColumn("anomalous", F.abs("z") >= threshold).drop("mad", "scale", "med")
+    """Robust z of every row, to four digits: the value less its phase's median, in units of 1.4826 MAD over all phases.
+
+    A series of fewer than two seasons has one median. Fewer than 8 rows are too few: z is null and nothing is anomalous.
+    """
+    whole, half = Window.partitionBy("series"), F.lit(0.5)
+    d = df.withColumn("_n", F.count("*").over(whole))
+    d = d.withColumn("phase", F.when(F.col("_n") >= 2 * season, F.col("idx") % season).otherwise(0))
+    d = d.withColumn("_a", F.col("value") - F.percentile("value", half).over(Window.partitionBy("series", "phase")))
+    d = d.withColumn("_c", F.percentile("_a", half).over(whole)).withColumn("_m", F.percentile(F.abs(F.col("_a") - F.col("_c")), half).over(whole))
+    z = F.when(F.col("_n") >= 8, F.round(F.col("_a") / F.greatest(F.col("_m") * MAD_SCALE, F.lit(TINY)), 4))
+    return d.withColumn("z", z).withColumn("anomalous", F.coalesce(F.abs("z") >= threshold, F.lit(False))).drop("_n", "_a", "_c", "_m")
+
+
+def penalties(df: DataFrame, sensitivity: float) -> DataFrame:
+    """(series, n, sse, penalty): sens * 2 * noise^2 * sqrt(n), the noise being 1.4826 MAD of the differences."""
+    noise = with_robust_scale(windows.difference(df), fallback=False).select("series", "scale")
+    n = df.groupBy("series").agg(F.count("*").alias("n"), (F.var_pop("value") * F.count("*")).alias("sse"))
+    return n.join(noise, "series").select("series", "n", "sse", (F.lit(2.0 * sensitivity) * F.col("scale") * F.col("scale") * F.sqrt("n")).alias("penalty"))
 
 
 def changepoint(df: DataFrame, sensitivity: float = 1.0) -> DataFrame:
-    """The best mean shift of each series, and whether its gain exceeds the penalty sens * 2 * noise^2 * sqrt(n)."""
-    noise = with_robust_scale(windows.difference(df)).select("series", "scale")
-    n = df.groupBy("series").agg(F.count("*").alias("n"), (F.var_pop("value") * F.count("*")).alias("sse"))
-    out = windows.split_scan(df).join(noise, "series").join(n, "series")
-    penalty = F.lit(2.0 * sensitivity) * F.col("scale") * F.col("scale") * F.sqrt("n")
-    return out.withColumn("detected", (F.col("n") >= 12) & (F.col("gain") > penalty)).withColumn("relative_gain", F.when(F.col("sse") > 1e-12, F.col("gain") / F.col("sse")))
+    """The best mean shift of each series, and whether its gain exceeds the penalty on 12 rows at least."""
+    out = windows.split_scan(df).join(penalties(df, sensitivity), "series")
+    out = out.withColumn("detected", (F.col("n") >= 12) & (F.col("gain") > F.col("penalty")))
+    return out.withColumn("relative_gain", F.when(F.col("sse") > 1e-12, F.col("gain") / F.col("sse"))).drop("penalty")
+
+
+def changepoints(df: DataFrame, sensitivity: float = 1.0, most: int = 3, min_segment: int = 4) -> DataFrame:
+    """Binary segmentation: up to `most` splits (series, split, ts, before_mean, after_mean, shift, relative_gain).
+
+    Each round takes, of the best splits of all segments of a series, the one of the largest gain over the penalty. Means
+    are of the 12 rows before and after.
+    """
+    limit = materialised(penalties(df, sensitivity).where("n >= 12"))
+    rows, found = df.select("series", "idx", "value").withColumn("seg", F.lit(0).cast("long")), None
+    for _ in range(most):
+        part = Window.partitionBy("series", "seg")
+        w = part.orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
+        # Sums of values less their segment's mean: a large mean would take the digits of the squares.
+        p = rows.withColumn("x", F.col("value") - F.avg("value").over(part)).withColumn("a", F.sum("x").over(w)).withColumn("m", F.count("*").over(part)).withColumn("k", F.col("idx") - F.col("seg") + 1)
+        p = p.where((F.col("k") >= min_segment) & (F.col("m") - F.col("k") >= min_segment))
+        p = p.withColumn("gain", F.col("a") * F.col("a") * (1 / F.col("k") + 1 / (F.col("m") - F.col("k"))))
+        best = p.groupBy("series").agg(F.max_by(F.struct("seg", (F.col("idx") + 1).alias("split"), "gain"), F.struct("gain", -F.col("idx"))).alias("b"))
+        best = materialised(best.select("series", "b.*").join(limit, "series").where("gain > penalty").select("series", F.col("seg").alias("of"), "split", "gain", "sse"))
+        found = best if found is None else found.unionByName(best)
+        cut = best.select("series", "of", F.col("split").alias("at"))
+        rows = rows.join(F.broadcast(cut) if best.count() <= 100_000 else cut, "series", "left").withColumn("seg", F.when((F.col("seg") == F.col("of")) & (F.col("idx") >= F.col("at")), F.col("at")).otherwise(F.col("seg"))).drop("of", "at")
+    near = df.join(found, "series").where((F.col("idx") >= F.col("split") - 12) & (F.col("idx") < F.col("split") + 12))
+    late = F.col("idx") >= F.col("split")
+    out = near.groupBy("series", "split").agg(
+        F.min(F.when(late, F.col("ts"))).alias("ts"),
+        F.avg(F.when(~late, F.col("value"))).alias("before_mean"),
+        F.avg(F.when(late, F.col("value"))).alias("after_mean"),
+        F.first(F.col("gain") / (F.col("sse") + TINY)).alias("relative_gain"),
+    )
+    return out.withColumn("shift", F.col("after_mean") - F.col("before_mean"))
+
+
+def regimes(df: DataFrame, splits: DataFrame, persist: int = 5, back: int = 24) -> DataFrame:
+    """(series, split, post, standardised, tail, regime) of splits (series, split).
+
+    The shift of the 12 rows on either side, and that of what follows the first persist - 1 rows after, in 1.4826 MAD of the
+    `back` rows before: reverted, where the second is under half of the first and under 1, is a transient anomaly. Fewer than
+    `persist` rows after the split leave it undetermined.
+    """
+    d = df.select("series", "idx", "value").join(splits.select("series", "split"), "series")
+    d = d.where(F.col("idx") >= F.col("split") - back).withColumn("off", F.col("idx") - F.col("split"))
+    pre = F.when(F.col("off") < 0, F.col("value"))
+    key = ["series", "split"]
+    centre = d.groupBy(*key).agg(F.percentile(pre, F.lit(0.5)).alias("_c"))
+    d = d.join(centre, key)
+    a = d.groupBy(*key).agg(
+        F.percentile(F.when(F.col("off") < 0, F.abs(F.col("value") - F.col("_c"))), F.lit(0.5)).alias("mad"),
+        F.avg(pre).alias("pre"),
+        F.avg(F.when((F.col("off") < 0) & (F.col("off") >= -12), F.col("value"))).alias("before"),
+        F.avg(F.when((F.col("off") >= 0) & (F.col("off") < 12), F.col("value"))).alias("after"),
+        F.avg(F.when(F.col("off") >= persist - 1, F.col("value"))).alias("late"),
+        F.count_if(F.col("off") >= 0).alias("post"),
+    )
+    scale = F.greatest(F.col("mad") * MAD_SCALE, F.lit(TINY))
+    a = a.withColumn("standardised", F.abs(F.col("after") - F.col("before")) / scale).withColumn("tail", F.abs(F.col("late") - F.col("pre")) / scale)
+    kind = F.when(F.col("post") < persist, "undetermined").when(F.col("tail") < F.greatest(F.lit(1.0), F.col("standardised") / 2), "transient_anomaly").otherwise("regime_shift")
+    return a.select("series", "split", "post", "standardised", "tail", kind.alias("regime"))
 
 
 def regime(df: DataFrame, cp: DataFrame, width: int = 5) -> DataFrame:
-    """regime_shift, transient_anomaly or undetermined: whether the last rows stay nearer to the new mean."""
-    d = df.join(cp.where("detected").select("series", "split", "before", "after"), "series")
-    last = F.max("idx").over(Window.partitionBy("series"))
-    d = d.withColumn("end", last)
-    tail = d.where(F.col("idx") > F.col("end") - width)
-    out = tail.groupBy("series").agg(F.avg("value").alias("tail"), F.first("before").alias("before"), F.first("after").alias("after"), (F.first("end") + 1 - F.first("split")).alias("post"))
-    kind = F.when(F.col("post") < width, "undetermined").when(F.abs(F.col("tail") - F.col("after")) <= F.abs(F.col("tail") - F.col("before")), "regime_shift").otherwise("transient_anomaly")
-    return out.select("series", "post", kind.alias("regime"))
+    """(series, post, regime) of the detected split of each series."""
+    return regimes(df, cp.where("detected"), width).select("series", "post", "regime")
 
 
 def seasonality(df: DataFrame, period: int) -> DataFrame:
@@ -68,17 +131,22 @@ def correlations(df: DataFrame) -> DataFrame:
 
 
 def event_study(df: DataFrame, events: DataFrame, width: int = 7) -> DataFrame:
-    """Mean of the width rows before and after each event (series, event_id, at), and their difference in scale units."""
+    """Mean of the width rows before and after each event (series, event_id, at), and their difference, also in 1.4826 MAD
+    of the rows before.
+
+    An event at no row's time takes the place after the last row before it. All is null where either side has too few rows.
+    """
     e = events.join(df.select("series", "ts", "idx"), "series").where(F.col("ts") <= F.col("at")).groupBy("series", "event_id").agg((F.max("idx") + F.when(F.max_by("ts", "idx") == F.first("at"), 0).otherwise(1)).alias("at_idx"))
     d = df.join(e, "series").where((F.col("idx") >= F.col("at_idx") - width) & (F.col("idx") < F.col("at_idx") + width))
-    before, after = F.col("idx") < F.col("at_idx"), F.col("idx") >= F.col("at_idx")
-    out = d.groupBy("series", "event_id").agg(
-        F.avg(F.when(before, F.col("value"))).alias("before"),
-        F.avg(F.when(after, F.col("value"))).alias("after"),
-        F.stddev_samp(F.when(before, F.col("value"))).alias("sd"),
-    )
+    pre, post = F.when(F.col("idx") < F.col("at_idx"), F.col("value")), F.when(F.col("idx") >= F.col("at_idx"), F.col("value"))
+    key = ["series", "event_id"]
+    d = d.withColumn("_c", F.percentile(pre, F.lit(0.5)).over(Window.partitionBy(*key)))
+    out = d.groupBy(*key).agg(F.avg(pre).alias("before"), F.avg(post).alias("after"), F.percentile(F.when(pre.isNotNull(), F.abs(F.col("value") - F.col("_c"))), F.lit(0.5)).alias("mad"), F.count(pre).alias("n1"), F.count(post).alias("n2"))
+    whole = (F.col("n1") == width) & (F.col("n2") == width)
     effect = F.col("after") - F.col("before")
-    return out.select("series", "event_id", "before", "after", effect.alias("effect"), F.when(F.col("sd") > 1e-12, effect / F.col("sd")).alias("standardised"))
+    standardised = F.round(effect / F.greatest(F.col("mad") * MAD_SCALE, F.lit(TINY)), 4)
+    found = out.select(*key, *[F.when(whole, x).alias(n) for n, x in (("before", F.col("before")), ("after", F.col("after")), ("effect", effect), ("standardised", standardised))])
+    return events.select(*key).join(found, key, "left")
 
 
 def stationarity(df: DataFrame) -> DataFrame:
@@ -133,6 +201,14 @@ def analogues(df: DataFrame, width: int, k: int = 5) -> DataFrame:
     return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("series", "rank", "block", "distance")
 
 
+def rolling_median_scores(df: DataFrame, season: int = 1) -> DataFrame:
+    """Rows with `score`: the residual against the centred rolling median in its 1.4826 MAD."""
+    r = windows.rolling_median_residual(df, season)
+    # The residuals' own median is left in, as they are centred already.
+    s = with_robust_scale(r, "residual", fallback=False).select("series", "scale")
+    return r.join(s, "series").withColumn("score", F.col("residual") / F.col("scale")).drop("residual", "scale")
+
+
 def detect(df: DataFrame, season: int = 1, threshold: float = THRESHOLD) -> DataFrame:
     """Two detectors side by side: phase-wise robust z and the rolling-median residual in its robust scale."""
     z = anomaly_score(df, season, threshold).select("series", "idx", "ts", "value", "z")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..frames import histories, materialised
 from ..functions.stats import TINY, conformal_quantile
 from .models import BASELINES, MODELS
+from .recursive import RECURSIVE, with_predictions
 
 MARGIN = 0.02
 MAX_FIT = 2048
@@ -32,8 +33,12 @@ def folds(df: DataFrame, horizon: int, season: int, max_fit: int = MAX_FIT) -> D
 
 def backtest(df: DataFrame, horizon: int, season: int, models: tuple[str, ...] = tuple(MODELS)) -> DataFrame:
     """(series, origin, role, model, lead, actual, predicted) of every model on every fold."""
-    f = folds(df, horizon, season)
-    runs = F.explode(F.array(*[F.struct(F.lit(m).alias("model"), MODELS[m](F.col("past"), horizon, season).alias("p")) for m in models]))
+    # The folds of one series spread over all tasks.
+    f, slow = folds(df, horizon, season).repartition("series", "origin"), [m for m in models if m in RECURSIVE]
+    if slow:
+        f = with_predictions(f, slow, horizon, season)
+    predicted = {m: F.col(f"p_{m}") if m in slow else MODELS[m](F.col("past"), horizon, season) for m in models}
+    runs = F.explode(F.array(*[F.struct(F.lit(m).alias("model"), predicted[m].alias("p")) for m in models]))
     each = f.select("series", "origin", "role", "actual", runs.alias("r")).select("series", "origin", "role", F.col("r.model").alias("model"), F.posexplode(F.arrays_zip(F.col("actual").alias("a"), F.col("r.p").alias("p"))).alias("i", "x"))
     return each.select("series", "origin", "role", "model", (F.col("i") + 1).cast("long").alias("lead"), F.col("x.a").alias("actual"), F.col("x.p").alias("predicted"))
 
@@ -99,14 +104,61 @@ def forecast(df: DataFrame, horizon: int, season: int, models: tuple[str, ...] =
     return out.select("series", "model", "step", "point", *[(F.col("point") + F.col(f"s{round(q * 100):02d}")).alias(f"q{round(q * 100):02d}") for q in QUANTILES])
 
 
-def ensemble(bt: DataFrame, scores: DataFrame, cap: float = 0.7) -> DataFrame:
-    """Weighted mean and median over models by fold and lead; weights are inverse mean errors, none over the cap."""
+def ensemble_weights(scores: DataFrame, cap: float = 0.7, rounds: int = 3) -> DataFrame:
+    """(series, model, weight): inverse mean errors over the selection folds, none over the cap for long.
+
+    Models without a positive score have no weight, unless no model has one: then all weigh the same. What is over the cap
+    goes to the others by weight, `rounds` times at most; at last the weights are made to sum to 1 again, so a model alone
+    weighs 1.
+    """
     mean = scores.where("role = 'select'").groupBy("series", "model").agg(F.avg("wape").alias("e"))
-    inv = mean.withColumn("i", 1 / F.greatest("e", F.lit(1e-9)))
     w = Window.partitionBy("series")
-    inv = inv.withColumn("w", F.col("i") / F.sum("i").over(w))
-    over = F.greatest(F.max("w").over(w) - cap, F.lit(0.0))
-    rest = F.sum(F.when(F.col("w") <= cap, F.col("w")).otherwise(0.0)).over(w)
-    capped = F.when(F.col("w") > cap, F.lit(cap)).when(over > 0, F.col("w") + over * F.col("w") / rest).otherwise(F.col("w"))
-    inv = inv.withColumn("weight", capped).select("series", "model", "weight")
-    return bt.join(inv, ["series", "model"]).groupBy("series", "origin", "role", "lead").agg(F.first("actual").alias("actual"), F.sum(F.col("weight") * F.col("predicted")).alias("weighted"), F.percentile("predicted", F.lit(0.5)).alias("median"))
+    scored = F.col("e").isNotNull() & (F.col("e") > 0)
+    mean = mean.withColumn("i", F.when(scored, 1 / F.col("e"))).withColumn("any", F.max("i").over(w))
+    out = mean.withColumn("i", F.when(F.col("any").isNull(), F.lit(1.0)).otherwise(F.col("i"))).where("i is not null")
+    out = out.select("series", "model", (F.col("i") / F.sum("i").over(w)).alias("w"))
+    for _ in range(rounds):
+        out = out.withColumn("over", F.sum(F.greatest(F.col("w") - cap, F.lit(0.0))).over(w)).withColumn("w", F.least("w", F.lit(cap)))
+        free = F.sum(F.when(F.col("w") < cap, F.col("w"))).over(w)
+        out = out.withColumn("w", F.when((F.col("over") > 1e-9) & (F.col("w") < cap) & (free > 0), F.col("w") + F.col("over") * F.col("w") / free).otherwise(F.col("w")))
+    return out.select("series", "model", (F.col("w") / F.sum("w").over(w)).alias("weight"))
+
+
+def ensemble(bt: DataFrame, scores: DataFrame, cap: float = 0.7) -> DataFrame:
+    """Weighted mean, median and vote over models by fold and lead.
+
+    The vote takes the median of the side, above or below the last value, that more than half of the models with a side are
+    on; without one, the median of all. `last_value` must be among the models for it.
+    """
+    weight = ensemble_weights(scores, cap)
+    last = F.max(F.when(F.col("model") == "last_value", F.col("predicted"))).over(Window.partitionBy("series", "origin"))
+    j = bt.withColumn("last", last).join(weight, ["series", "model"], "left")
+    up, down = F.col("predicted") > F.col("last"), F.col("predicted") < F.col("last")
+    half = F.lit(0.5)
+    out = j.groupBy("series", "origin", "role", "lead").agg(
+        F.first("actual").alias("actual"),
+        F.sum(F.coalesce("weight", F.lit(0.0)) * F.col("predicted")).alias("weighted"),
+        F.percentile("predicted", half).alias("median"),
+        F.percentile(F.when(up, F.col("predicted")), half).alias("_above"),
+        F.percentile(F.when(down, F.col("predicted")), half).alias("_below"),
+        F.count_if(up).alias("_u"),
+        F.count_if(down).alias("_d"),
+    )
+    cast = (F.col("_u") + F.col("_d")) * 0.5
+    vote = F.when(F.col("_u") > cast, F.col("_above")).when(F.col("_d") > cast, F.col("_below")).otherwise(F.col("median"))
+    return out.withColumn("vote", vote).drop("_above", "_below", "_u", "_d")
+
+
+def combine_quantiles(quantiles: DataFrame, how: str = "union") -> DataFrame:
+    """Of (series, step, model, level, value[, weight]): one value for each level.
+
+    union: the widest band; intersection: the narrowest; weighted: by weight; mean: plainly.
+    """
+    low = F.first("level") <= 0.5
+    wide, narrow = F.when(low, F.min("value")).otherwise(F.max("value")), F.when(low, F.max("value")).otherwise(F.min("value"))
+    mean = F.avg("value")
+    if how == "weighted":
+        total = F.sum("weight")
+        weighted = F.when(total > 0, F.sum(F.col("weight") * F.col("value")) / total).otherwise(mean)
+    value = {"union": lambda: wide, "intersection": lambda: narrow, "weighted": lambda: weighted, "mean": lambda: mean}[how]()
+    return quantiles.groupBy("series", "step", "level").agg(value.alias("value"))

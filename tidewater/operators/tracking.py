@@ -32,11 +32,16 @@ def leaderboard(scores: DataFrame) -> DataFrame:
     return out.withColumn("rank", F.row_number().over(Window.orderBy(F.col("mase").asc_nulls_last(), "model")).cast("long"))
 
 
-def drift_flags(scores: DataFrame, window: int = 5) -> DataFrame:
-    """Each score against the median of up to five before it: over 50 % worse is degraded, over 25 % a warning."""
-    w = Window.partitionBy("series").orderBy("scored_at").rowsBetween(-window, -1)
-    out = scores.withColumn("usual", F.percentile("mase", F.lit(0.5)).over(w))
-    return out.withColumn("drift", F.when(F.col("mase") > F.col("usual") * 1.5, "degraded").when(F.col("mase") > F.col("usual") * 1.25, "warning").otherwise("stable"))
+def drift_flags(scores: DataFrame, window: int = 5, keys: tuple[str, ...] = ("project", "model", "series", "horizon", "frequency")) -> DataFrame:
+    """Each score against the median of the `window` scores before it of the same keys (those that `scores` has): over 50 %
+    worse is degraded, over 25 % a warning. With fewer scores before, or a median of 0, there is no flag but `stable`."""
+    held = [k for k in keys if k in scores.columns]
+    own = scores.where("mase is not null")
+    w = Window.partitionBy(*held).orderBy("scored_at").rowsBetween(-window, -1)
+    usual = F.when(F.count("mase").over(w) == window, F.percentile("mase", F.lit(0.5)).over(w))
+    out = own.withColumn("usual", F.when(usual > 0, usual))
+    worse = F.col("mase") / F.col("usual") - 1
+    return out.withColumn("drift", F.when(worse > 0.5, "degraded").when(worse > 0.25, "warning").otherwise("stable"))
 
 
 def adapted_alpha(coverage: DataFrame, target: float = 0.8, rate: float = 0.02, low: float = 0.01, high: float = 0.5) -> DataFrame:

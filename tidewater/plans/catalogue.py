@@ -238,11 +238,19 @@ def _(spark, d):
     return rounded(descriptive.correlations(days(spark, d)))
 
 
-@query("event_study", f"WITH {DAYS} SELECT series, 'launch' AS event_id, round(avg(value) FILTER (ts < DATE '2024-01-15'), 6) AS before, round(avg(value) FILTER (ts >= DATE '2024-01-15'), 6) AS after, round(avg(value) FILTER (ts >= DATE '2024-01-15') - avg(value) FILTER (ts < DATE '2024-01-15'), 6) AS effect FROM s WHERE ts BETWEEN DATE '2024-01-08' AND DATE '2024-01-21' GROUP BY series")
+@query(
+    "event_study",
+    f"""WITH {DAYS}, p AS (SELECT series, avg(value) AS before, median(value) AS c FROM s WHERE ts BETWEEN DATE '2024-01-08' AND DATE '2024-01-14' GROUP BY series),
+    m AS (SELECT s.series, median(abs(value - c)) AS mad FROM s JOIN p USING (series) WHERE ts BETWEEN DATE '2024-01-08' AND DATE '2024-01-14' GROUP BY s.series),
+    q AS (SELECT series, avg(value) AS after FROM s WHERE ts BETWEEN DATE '2024-01-15' AND DATE '2024-01-21' GROUP BY series)
+    SELECT series, 'launch' AS event_id, round(before, 6) AS before, round(after, 6) AS after, round(after - before, 6) AS effect, round((after - before) / greatest(1.4826 * mad, 1e-12), 4) AS standardised FROM p JOIN m USING (series) JOIN q USING (series)
+    UNION ALL SELECT DISTINCT series, 'too_late', NULL, NULL, NULL, NULL FROM s""",
+)
 def _(spark, d):
     s = days(spark, d)
-    events = s.select("series").distinct().withColumn("event_id", F.lit("launch")).withColumn("at", F.lit("2024-01-15").cast("date"))
-    return rounded(descriptive.event_study(s, events).select("series", "event_id", "before", "after", "effect"))
+    names = s.select("series").distinct()
+    events = names.withColumn("event_id", F.lit("launch")).withColumn("at", F.lit("2024-01-15").cast("date")).unionByName(names.withColumn("event_id", F.lit("too_late")).withColumn("at", F.lit("2024-01-28").cast("date")))
+    return rounded(descriptive.event_study(s, events))
 
 
 @query("stationarity", f"WITH {DAYS}, x AS (SELECT series, lag(value) OVER (PARTITION BY series ORDER BY idx) AS x, value AS v FROM s), y AS (SELECT series, x, v - x AS y FROM x WHERE x IS NOT NULL), r AS (SELECT series, regr_slope(y, x) AS b, regr_sxx(y, x) AS sxx, regr_syy(y, x) AS syy, regr_sxy(y, x) AS sxy, count(*) AS n FROM y GROUP BY series) SELECT series, round(b / sqrt((syy - b * sxy) / (n - 2) / sxx), 6) AS t FROM r")
@@ -265,12 +273,6 @@ def _(spark, d):
     return rounded(descriptive.analogues(hours(spark, d), 24))
 
 
-@query("regime")
-def _(spark, d):
-    s = days(spark, d)
-    return rounded(descriptive.regime(s, descriptive.changepoint(s, 0.001)))
-
-
 @query("detect")
 def _(spark, d):
     return rounded(descriptive.detect(hours(spark, d), 24))
@@ -337,10 +339,17 @@ def _(spark, d):
     return rounded(evaluate.forecast(days(spark, d), H, SEASON))
 
 
-@query("ensemble_median", f"WITH {FOLDS} SELECT series, origin, lead, round(median(predicted), 6) AS median FROM bt GROUP BY series, origin, lead")
+@query(
+    "ensemble",
+    f"""WITH {FOLDS}, e AS (SELECT series, model, avg(wape) AS e FROM sc WHERE role = 'select' GROUP BY ALL), i AS (SELECT series, model, 1 / e / sum(1 / e) OVER (PARTITION BY series) AS w FROM e WHERE e > 0),
+    l AS (SELECT series, origin, max(predicted) FILTER (model = 'last_value') AS last FROM bt GROUP BY ALL),
+    a AS (SELECT bt.series, origin, lead, sum(coalesce(w, 0) * predicted) AS weighted, median(predicted) AS median, median(predicted) FILTER (predicted > last) AS up, median(predicted) FILTER (predicted < last) AS down, count(*) FILTER (predicted > last) AS u, count(*) FILTER (predicted < last) AS d, max(w) AS largest
+      FROM bt LEFT JOIN i USING (series, model) JOIN l USING (series, origin) GROUP BY ALL)
+    SELECT series, origin, lead, round(CASE WHEN largest <= 0.7 THEN weighted END, 6) AS weighted, round(median, 6) AS median, round(CASE WHEN u > (u + d) / 2 THEN up WHEN d > (u + d) / 2 THEN down ELSE median END, 6) AS vote FROM a""",
+)
 def _(spark, d):
     bt = evaluate.backtest(days(spark, d), H, SEASON, LINEAR)
-    return rounded(evaluate.ensemble(bt, evaluate.fold_scores(bt)).select("series", "origin", "lead", "median"))
+    return rounded(evaluate.ensemble(bt, evaluate.fold_scores(bt)).select("series", "origin", "lead", "weighted", "median", "vote"))
 
 
 UTILITY = [("hold", "calm", 0.7, 1.0), ("hold", "storm", 0.3, -5.0), ("scale", "calm", 0.7, -1.0), ("scale", "storm", 0.3, 4.0), ("wait", "calm", 0.7, 0.5), ("wait", "storm", 0.3, 0.5)]
@@ -398,9 +407,10 @@ def _(spark, d):
     return rounded(tracking.leaderboard(ledger(spark, d)).select("model", "mase", "mae", "n", "rank"))
 
 
-@query("drift_flags", f"WITH {LEDGER}, x AS (SELECT series, origin, mase, median(mase) OVER (PARTITION BY series ORDER BY origin ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS usual FROM ls WHERE model = 'drift') SELECT series, origin AS scored_at, round(mase, 6) AS mase, CASE WHEN mase > usual * 1.5 THEN 'degraded' WHEN mase > usual * 1.25 THEN 'warning' ELSE 'stable' END AS drift FROM x")
+@query("drift_flags", f"WITH {LEDGER}, x AS (SELECT model, series, origin, mase, median(mase) OVER w AS usual, count(mase) OVER w AS n FROM ls WINDOW w AS (PARTITION BY model, series ORDER BY origin ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING)) SELECT model, series, origin AS scored_at, round(mase, 6) AS mase, CASE WHEN n = 4 AND usual > 0 AND mase / usual - 1 > 0.5 THEN 'degraded' WHEN n = 4 AND usual > 0 AND mase / usual - 1 > 0.25 THEN 'warning' ELSE 'stable' END AS drift FROM x")
 def _(spark, d):
-    return rounded(tracking.drift_flags(ledger(spark, d).where("model = 'drift'")).select("series", "scored_at", "mase", "drift"))
+    # The ledger has five scores a model, so the window is one shorter than by default.
+    return rounded(tracking.drift_flags(ledger(spark, d), window=4).select("model", "series", "scored_at", "mase", "drift"))
 
 
 @query("adapted_alpha", f"WITH RECURSIVE {DAYS}, m AS (SELECT series, median(value) AS m FROM s GROUP BY series), c AS (SELECT s.series, idx, CAST(value <= m AS DOUBLE) AS c FROM s JOIN m USING (series)), r AS (SELECT series, -1::BIGINT AS idx, 0.2::DOUBLE AS alpha FROM m UNION ALL SELECT r.series, c.idx, greatest(0.01, least(0.5, r.alpha + 0.02 * (0.2 - (1 - c.c)))) FROM r JOIN c ON c.series = r.series AND c.idx = r.idx + 1) SELECT series, round(arg_max(alpha, idx), 6) AS alpha, count(*) - 1 AS n FROM r GROUP BY series")
@@ -437,3 +447,7 @@ TIMES = ["2026-01-05", "2026-01-05T06:07:08Z", "1767225600", "1767225600000", "1
 @query("parse_time", "SELECT * FROM (VALUES ('2026-01-05', TIMESTAMP '2026-01-05 00:00:00'), ('2026-01-05T06:07:08Z', TIMESTAMP '2026-01-05 06:07:08'), ('1767225600', TIMESTAMP '2026-01-01 00:00:00'), ('1767225600000', TIMESTAMP '2026-01-01 00:00:00'), ('13/06/2026', TIMESTAMP '2026-06-13 00:00:00'), ('05/06/2026', NULL), ('2026/05/18', TIMESTAMP '2026-05-18 00:00:00'), ('18 May 2026', TIMESTAMP '2026-05-18 00:00:00'), ('nonsense', NULL)) t(cell, ts)")
 def _(spark, d):
     return spark.createDataFrame([(x,) for x in TIMES], "cell string").withColumn("ts", parse_time(F.col("cell")))
+
+from . import evidence_queries  # noqa: E402, F401
+
+from . import ledger_queries  # noqa: E402, F401
