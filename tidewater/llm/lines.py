@@ -13,7 +13,7 @@ SimHash reaches few of the pairs at `least`, as one changed word of a short line
 queries set, an exact join finds the rest: a line of n words and one within the similarity share one of the
 floor(2 (1 - least) n) + 1 rarest pairs of adjacent words of each, as an edit breaks two such pairs at most. Rarity is
 that of the two words, read from COUNTERS counters over a sample of SAMPLE_WORDS words; any order gives the same links. SimHash has joined the large groups by
-then, and a pair of words whose lines all lie in one group is passed over. Candidates whose words differ in more bits of a
+then, and lines of one group are not compared again. Candidates whose words differ in more bits of a
 parity sketch than the edits allowed can flip fall inside the join. With `whole`, lines of fewer than `min_words` words
 take part too, as exact copies only.
 
@@ -29,6 +29,7 @@ Lines of any length take part: SimHash counters of 8, 16 or 64 bits are chosen b
 from __future__ import annotations
 
 import math
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
@@ -39,11 +40,10 @@ from .common import bound, components, cut
 RADIUS = 3
 LEAST = 0.8
 MIN_WORDS = 5
-CENTRES = 4
 CODES = 0xC800
 COUNTERS = 1 << 18
 SAMPLE_WORDS = 10_000_000
-SLICES = 2
+SLICES = 3
 PARITY = 4
 PARITIES = [f"p{j}" for j in range(PARITY)]
 UNSPACED = r"([\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}])"
@@ -208,29 +208,34 @@ def rare_keys(classes: DataFrame, least: float) -> DataFrame:
     return classes.select("line", F.explode(F.slice(bound(F.transform("h", rank), ranked), F.lit(1), size)).alias("k"))
 
 
-def open_keys(classes: DataFrame, roots: DataFrame, least: float) -> DataFrame:
-    """(line, k, c) of the rare word pairs that lines of several groups have, c being how many lines have them.
-
-    The keys are dealt with in SLICES parts, one after the other, so that the disks hold the shuffle of one part only.
-    """
-    keys, out = rare_keys(classes, least).join(roots, F.col("line") == F.col("node"), "left").select("line", "k", F.coalesce("root", "line").alias("root")), None
+def shared_keys(classes: DataFrame, least: float) -> DataFrame:
+    """(line, k, c) of the rare word pairs that several lines have, c being how many."""
     of_key = Window.partitionBy("k")
-    for i in range(SLICES):
-        part = keys.where(F.pmod("k", F.lit(SLICES)) == i).repartition("k")
-        part = part.withColumn("x", F.min("root").over(of_key)).withColumn("y", F.max("root").over(of_key)).withColumn("c", F.count("*").over(of_key))
-        part = cut(part.where("x <> y").select("line", "k", "c"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    keys = rare_keys(classes, least).repartition("k").withColumn("c", F.count("*").over(of_key))
+    return cut(keys.where("c > 1"))
+
+
+def allowed(a: str, b: str, least: float) -> Column:
+    """What roots, lengths and parities of two sides allow; columns are named by a prefix and a suffix."""
+    of = lambda c: (F.col(a.format(c)), F.col(b.format(c)))
+    longer, shorter = F.greatest(*of("len")), F.least(*of("len"))
+    flips = sum((F.bit_count(x.bitwiseXOR(y)) for x, y in map(of, PARITIES)), F.lit(0))
+    ra, rb = of("root")
+    return (ra != rb) & (shorter >= longer * F.lit(least) - F.lit(1e-9)) & (flips <= 2 * F.floor(longer * F.lit(1 - least) + F.lit(1e-9)))
 
 
-def alike(a: DataFrame, b: DataFrame, least: float) -> DataFrame:
+def met_ends(every: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b) of the smallest and the largest line of each key with its others, which are all pairs of keys of three."""
+    one, of_key = F.struct("line", "len", "root", *PARITIES), Window.partitionBy("k")
+    met = every.repartition("k").withColumn("lo", F.min(one).over(of_key)).withColumn("hi", F.max(one).over(of_key))
+    met = met.withColumn("o", F.explode(F.array("lo", "hi"))).drop("lo", "hi")
+    return met.where(allowed("{}", "o.{}", least)).select(F.least("line", "o.line").alias("a"), F.greatest("line", "o.line").alias("b")).distinct()
+
+
+def alike(every: DataFrame, least: float) -> DataFrame:
     """Pairs (a, b) of a shared key and different roots that lengths and parities do not rule out."""
-    a, b = [x.select("k", *[F.col(c).alias(f"{c}_{s}") for c in ("line", "len", "root", *PARITIES)]) for x, s in ((a, "a"), (b, "b"))]
-    longer = F.greatest("len_a", "len_b")
-    lengths = F.least("len_a", "len_b") >= longer * F.lit(least) - F.lit(1e-9)
-    flips = sum((F.bit_count(F.col(f"{p}_a").bitwiseXOR(F.col(f"{p}_b"))) for p in PARITIES), F.lit(0))
-    fits = lengths & (F.col("root_a") != F.col("root_b")) & (flips <= 2 * F.floor(longer * F.lit(1 - least) + F.lit(1e-9)))
-    return a.join(b, "k").where(fits).select(F.least("line_a", "line_b").alias("a"), F.greatest("line_a", "line_b").alias("b")).distinct()
+    a, b = [every.select("k", *[F.col(c).alias(f"{c}_{s}") for c in ("line", "len", "root", *PARITIES)]) for s in "ab"]
+    return a.join(b, "k").where(allowed("{}_a", "{}_b", least)).select(F.least("line_a", "line_b").alias("a"), F.greatest("line_a", "line_b").alias("b")).distinct()
 
 
 def rooted(classes: DataFrame, roots: DataFrame, *more: str) -> DataFrame:
@@ -238,19 +243,23 @@ def rooted(classes: DataFrame, roots: DataFrame, *more: str) -> DataFrame:
 
 
 def widened(classes: DataFrame, links: DataFrame, roots: DataFrame, least: float) -> DataFrame:
-    """(node, root) with the links that SimHash misses: centres of each key first, then keys that hold several groups."""
-    keys = open_keys(classes, roots, least)
-    for centres in (True, False):
-        every = keys.join(rooted(classes, roots, *PARITIES), "line")
-        if centres:
-            some = every.where((F.col("c") <= CENTRES) | (F.pmod(F.xxhash64("line", "k"), F.col("c")) < CENTRES))
-        else:
-            count = every.groupBy("k").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 < r2").select("k")
-            some = every = every.where(F.col("c") > CENTRES).join(count, "k")
-        pairs = cut(alike(some, every, least))
-        if pairs.limit(1).count():
-            links = cut(links.unionByName(linked(classes, pairs, least)))
-            roots = components(links)
+    """(node, root) with the links that SimHash misses: the ends of each key first, then keys that hold several groups.
+
+    The keys meet in SLICES parts, one after the other, so that the disks hold the shuffle of one part only.
+    """
+    keys, parts = shared_keys(classes, least), []
+    every = keys.join(rooted(classes, roots, *PARITIES), "line")
+    for i in range(SLICES):
+        parts.append(cut(met_ends(every.where(F.pmod("k", F.lit(SLICES)) == i), least)))
+    pairs = cut(reduce(DataFrame.unionByName, parts).distinct())
+    if pairs.limit(1).count():
+        links = cut(links.unionByName(linked(classes, pairs, least)))
+        roots = components(links)
+    large = keys.where("c > 3").join(rooted(classes, roots, *PARITIES), "line")
+    still = large.groupBy("k").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 < r2").select("k")
+    pairs = cut(alike(large.join(still, "k"), least))
+    if pairs.limit(1).count():
+        roots = components(cut(links.unionByName(linked(classes, pairs, least))))
     return roots
 
 
