@@ -5,8 +5,9 @@ stands for up to N words of any kind, such as names and years. Each template is
 tokens; it accepts a passage whose mandatory words match exactly and in order. Beside it, plain phrases are counted.
 
 Texts are lower-cased in A-Z and cut into words of letters, digits and non-ASCII characters, so punctuation, case and
-line breaks don't matter. Null and empty texts have no words and no labels. Rows keep all their columns; `scan` replaces
-a column of that name.
+line breaks don't matter. Null and empty texts have no words and no labels; a table without rows stays empty. Texts of any
+length are read whole, in one pass over their words. Repeated rows are scanned alike; of matches of one template that begin
+at one word the shortest counts. Rows keep all their columns; `scan` replaces a column of that name.
 """
 
 from __future__ import annotations
@@ -30,6 +31,12 @@ PHRASES = {
 }
 
 # Public license wordings as templates: fixed values.
+BSD_DISCLAIMER = """THIS SOFTWARE IS PROVIDED BY <<v:12>> "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED
+    TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL
+    <<v:12>> BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT
+    LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER
+    CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE)
+    ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
 TEMPLATES = {
     "mit-notice": "<<o>>this <<v:3>> is<</o>> <<o>>released<</o>> <<o>>licensed<</o>> <<o>>distributed<</o>> under the <<o>>terms of the<</o>> MIT license",
     "apache-2.0-notice": "licensed under the Apache license <<o>>,<</o>> version 2.0",
@@ -49,25 +56,43 @@ TEMPLATES = {
     "isc": """Permission to use, copy, modify, and<<o>>/or<</o>> distribute this software for any purpose with or without fee is
         hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE
         SOFTWARE IS PROVIDED "AS IS" AND <<v:8>> DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED
-        WARRANTIES OF MERCHANTABILITY AND FITNESS.""",
+        WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL <<v:8>> BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR
+        CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF
+        CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS
+        SOFTWARE.""",
     "bsd-2-clause": """Redistribution and use in source and binary forms, with or without modification, are permitted provided
         that the following conditions are met: <<o>>1.<</o>> Redistributions of source code must retain the above copyright
         notice, this list of conditions and the following disclaimer. <<o>>2.<</o>> Redistributions in binary form must
         reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation
-        and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY <<v:12>> "AS IS" AND ANY EXPRESS
-        OR IMPLIED WARRANTIES""",
+        and/or other materials provided with the distribution. """
+    + BSD_DISCLAIMER,
     "bsd-3-clause": """Redistribution and use in source and binary forms, with or without modification, are permitted provided
         that the following conditions are met: <<o>>1.<</o>> Redistributions of source code must retain the above copyright
         notice, this list of conditions and the following disclaimer. <<o>>2.<</o>> Redistributions in binary form must
         reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation
         and/or other materials provided with the distribution. <<o>>3.<</o>> Neither the name of <<v:12>> nor the names of
         its contributors may be used to endorse or promote products derived from this software without specific prior
-        written permission.""",
+        written permission. """
+    + BSD_DISCLAIMER,
     "zlib": """This software is provided 'as-is', without any express or implied warranty. In no event will <<v:6>> be held
         liable for any damages arising from the use of this software. Permission is granted to anyone to use this software
-        for any purpose, including commercial applications, and to alter it and redistribute it freely""",
+        for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the
+        following restrictions: <<o>>1.<</o>> The origin of this software must not be misrepresented; you must not claim that
+        you wrote the original software. If you use this software in a product, an acknowledgment in the product
+        documentation would be appreciated but is not required. <<o>>2.<</o>> Altered source versions must be plainly marked
+        as such, and must not be misrepresented as being the original software. <<o>>3.<</o>> This notice may not be removed
+        or altered from any source distribution.""",
     "unlicense": """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify,
-        publish, use, compile, sell, or distribute this software""",
+        publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any
+        purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author
+        or authors of this software dedicate any and all copyright interest in the software to the public domain. We make
+        this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend
+        this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software
+        under copyright law. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING
+        BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO
+        EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT
+        OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+        SOFTWARE.""",
     "apache-2.0": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in
         compliance with the License. You may obtain a copy of the License at <<v:8>> Unless required by applicable law or
         agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES
