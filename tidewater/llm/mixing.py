@@ -9,7 +9,8 @@ flown again until one block of a source is left. That one holds back LANDING doc
 phase decides them and the last undecided ones together, by the smallest error of all ways to do so.
 
 All choices follow hashes of the ids and a fixed seed: reruns agree. Null sources form a source of their own; null and
-empty texts have size 0 and take no words. Rows equal in id, text and source are one unit, taken equally often each.
+empty texts have size 0 and take no words. Rows equal in id, text and source are one unit, taken equally often each, which
+balances as so many documents. A table without rows gives none. Texts of any length count whole; ties go by hash, then id.
 """
 
 from __future__ import annotations
@@ -55,23 +56,27 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
     return w.withColumn("target", F.least("cap", level * F.col("w"))).select("source", "source_size", "docs", "target")
 
 
-def flight(size: np.ndarray, p: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """Probabilities moved until at most two lie strictly between 0 and 1; both totals stay as they were."""
+def flight(size: np.ndarray, p: np.ndarray, rng: np.random.Generator, count: np.ndarray | None = None) -> np.ndarray:
+    """Probabilities moved until at most two lie strictly between 0 and 1; the totals of size and of count stay as they were.
+
+    count is how many documents each stands for, 1 by default.
+    """
+    n = np.ones(len(p)) if count is None else count
     p, draws = p.copy(), iter(())
     waiting, active = iter(range(len(p))), []
     while True:
         while len(active) < 3 and (i := next(waiting, None)) is not None:
             if NEAR < p[i] < 1 - NEAR:
                 active.append(i)
-        if len(active) < 2 or len(active) == 2 and size[active[0]] != size[active[1]]:
+        if len(active) < 2 or len(active) == 2 and size[active[0]] * n[active[1]] != size[active[1]] * n[active[0]]:
             return p
-        if len(active) == 2:
-            u = (1.0, -1.0)
-        else:
-            a, b, c = (float(size[i]) for i in active)
-            u = (c - b, a - c, b - a)
-            if not any(u):
-                u = (1.0, -1.0, 0.0)
+        # The null space of the two constraints is the cross product of their rows; where they are parallel, that of one.
+        a, b = active[:2]
+        u = (float(n[b]), -float(n[a]), 0.0)[: len(active)]
+        if len(active) == 3:
+            c = active[2]
+            cross = (float(size[b] * n[c] - size[c] * n[b]), float(size[c] * n[a] - size[a] * n[c]), float(size[a] * n[b] - size[b] * n[a]))
+            u = cross if any(cross) else u
         up = min((1 - p[i]) / d if d > 0 else p[i] / -d for i, d in zip(active, u, strict=True) if d)
         down = min(p[i] / d if d > 0 else (1 - p[i]) / -d for i, d in zip(active, u, strict=True) if d)
         draw = next(draws, None)
@@ -112,7 +117,7 @@ def fly(frame: pd.DataFrame) -> pd.DataFrame:
     last = first["blocks"] == 1
     back = np.unique(np.linspace(0, len(p) - 1, LANDING).round().astype(int)) if last else np.zeros(0, dtype=int)
     order = rng.permutation(np.setdiff1d(np.arange(len(p)), back))
-    p[order] = flight(size[order], p[order], rng)
+    p[order] = flight(size[order], p[order], rng, frame["rows"].to_numpy(dtype=float)[order])
     frame["p"] = landing(size, p) if last else p
     return frame
 
