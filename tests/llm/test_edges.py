@@ -8,7 +8,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tidewater.llm import fingerprints, secrets, urls
+from tidewater.llm import fingerprints, licenses, mixing, nearsets, registry, secrets, urls
 
 random.seed(31)
 VOCAB = ["".join(random.choices("abcdefgh", k=random.randint(2, 6))) for _ in range(300)]
@@ -114,3 +114,76 @@ def test_url_rules_against_brute_force(spark, tmp_path):
     for r in urls.op8_url_filter(spark, str(tmp_path)).collect():
         host, path, rule, verdict = brute_verdict(found[r["page_id"]])
         assert (r["host"], r["path"], r["rule"]) == (host, path, rule) and r["verdict"] in ((verdict,) if verdict else ("allow", "block"))
+
+
+def test_parities_of_samples_keep_pairs_at_the_threshold():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    rows, bands = nearsets.plan(0.85)
+    seeds = rng.integers(1, 1 << 63, rows * bands, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    most, kept = nearsets.most_parity(0.85, rows * bands), 0
+    for _ in range(40):
+        # 50 pairs of sets of 85 common shingles of 100 in all.
+        sets = []
+        for _ in range(50):
+            x = rng.integers(1, 1 << 63, 100, dtype=np.uint64)
+            sets += [np.sort(x[:93]), np.sort(np.concatenate([x[:85], x[93:]]))]
+        _, odd = nearsets.signatures(sets, rows, bands, seeds)
+        a, b = odd[0::2, : nearsets.BITS // 64], odd[1::2, : nearsets.BITS // 64]
+        kept += sum(sum(int(v & 0xFFFFFFFFFFFFFFFF).bit_count() for v in (p ^ q).tolist()) <= most for p, q in zip(a, b, strict=True))
+    assert kept == 2000
+
+
+def test_templates_want_the_whole_wording(spark, tmp_path):
+    plain = lambda t: re.sub(r"<<v:\d+>>", "the author", re.sub(r"<</?o>>", "", t))
+    texts, wanted = [], []
+    for name, template in licenses.TEMPLATES.items():
+        if name.endswith("-notice"):
+            continue  # Notices end in optional words.
+        whole = plain(template).split()
+        texts += [" ".join(whole), " ".join(whole[: len(whole) // 2]), " ".join([*whole[:-3], "other", *whole[-2:]])]
+        wanted += [name] * 3
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, scan string")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: set(r["labels"].split(",")) for r in licenses.op5_licenses(spark, str(tmp_path)).collect()}
+    for i, name in enumerate(wanted):
+        assert (name in got[i]) == (i % 3 == 0), (name, i, got[i])
+
+
+def test_flight_balances_rows():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    size, p, n = rng.integers(1, 900, 300).astype(float), np.full(300, 0.3), rng.integers(1, 4, 300).astype(float)
+    q = mixing.flight(size, p, rng, n)
+    assert ((q > 0) & (q < 1)).sum() <= 2 and (q * n).sum() == pytest.approx((p * n).sum()) and (q * size).sum() == pytest.approx((p * size).sum())
+
+
+def test_empty_tables_give_empty_results(spark, tmp_path):
+    import corpus_pipeline
+
+    d = str(tmp_path)
+    empty = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    empty.write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    spark.createDataFrame([], "page_id long, url string, html string").write.parquet(f"{d}/pages.parquet")
+    for name, query in {**registry.QUERIES, "pipeline": corpus_pipeline.run}.items():
+        assert query(spark, d).count() == 0, name
+
+
+def test_pipeline_on_repeated_rows_and_more_columns(spark, tmp_path):
+    import corpus_pipeline
+
+    long = "\n".join(prose(15) for _ in range(6))
+    rows = [(1, long, "en", "a", 0, "x", 1), (1, long, "en", "a", 0, "y", 2), (2, long, "en", "b", 0, "z", 3), (None, prose(60), "en", "a", 0, None, None), (4, prose(70), None, None, None, "w", 5), (5, None, "en", "a", 0, "v", 6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, lines string, hits long")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, prose(30))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    left = df
+    for name, stage in corpus_pipeline.STAGES[1:4]:
+        left = stage(spark, left, str(tmp_path))
+        assert set(left.columns) >= {"doc_id", "text", "lang", "source", "n_chars"}, name
+    got = sorted((r["doc_id"] or 0 for r in left.select("doc_id").collect()))
+    assert got.count(1) == 1 and got.count(2) == 0 and 0 in got and 4 in got

@@ -7,8 +7,10 @@ other terms of its group, and the squared change of the score that a swap makes
 group counts for or against no text.
 
 Scores lie in 0 to 1. Null and empty texts have no features and get the score of the bias alone. With no labelled row,
-or only one label, the score is the smoothed share of that label. Rows keep all their columns; `toxic_score` replaces
-a column of that name.
+or only one label, the score is the smoothed share of that label. Very long texts are read whole, by their distinct words.
+Repeated rows are scored alike and weigh in the fit as often as they occur, also where one id has several labels; rows tie in
+nothing that is returned. A table without rows stays empty. Rows keep all their columns; `toxic_score` replaces a column of
+that name.
 """
 
 from __future__ import annotations
