@@ -5,14 +5,30 @@ Each takes the long frame (series, ts, value) and returns a DataFrame; nothing i
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import indexed
-from .operators import decisions, descriptive, evaluate, quality
+from .frames import indexed, materialised
+from .operators import anomalies, decisions, descriptive, evaluate, evidence, quality, questions, results
+
+# Default seasons of named steps: fixed values.
+SEASONS = {"s": 60, "min": 60, "5min": 288, "15min": 96, "30min": 48, "h": 24, "D": 7, "W": 52, "MS": 12}
+CYCLES = (86400, 3600, 60)
+
 
-# Default season of a step in seconds: fixed values.
-SEASONS = {1: 60, 60: 60, 300: 288, 600: 144, 900: 96, 1800: 48, 3600: 24, 86400: 7, 604800: 52}
+def default_season(frequency: str) -> int:
+    """The season of a step that nothing was measured for: a named one, or a day, hour or minute that has 2 to 288 steps."""
+    if frequency in SEASONS:
+        return SEASONS[frequency]
+    found = re.fullmatch(r"(\d+)(s|min|h)", frequency)
+    if found:
+        step = int(found[1]) * {"s": 1, "min": 60, "h": 3600}[found[2]]
+        for cycle in CYCLES:
+            if 2 <= round(cycle / step) <= 288:
+                return round(cycle / step)
+    return 1
 
 
 def inspect(df: DataFrame) -> DataFrame:
@@ -28,26 +44,57 @@ def describe(df: DataFrame) -> DataFrame:
     return descriptive.profile(indexed(df))
 
 
-def forecast(df: DataFrame, horizon: int, season: int) -> DataFrame:
-    return evaluate.forecast(indexed(df), horizon, season)
+def forecast(df: DataFrame, horizon: int, season: int | None = None, step: str | None = None) -> DataFrame:
+    """(series, step, model, point, q05 ... q95, tier): every series gets rows.
+
+    Series with folds get the model that their backtest chose, graded by how many folds and what coverage they had; shorter
+    ones the strongest baseline on one trailing holdout; the rest their last value with a random-walk band, as best effort.
+    With a step (D, W, MS, <N>s, <N>min, <N>h) there is `ts`, and its season is used where none is given.
+    """
+    season = season or default_season(step or "")
+    s = indexed(df)
+    bt, chosen = evaluate.fitted(s, horizon, season)
+    full = evaluate.published(s, bt, chosen, horizon, season)
+    spread = evaluate.ordered_spreads(evaluate.spreads(evaluate.residuals(bt, chosen)))
+    folds = bt.groupBy("series").agg(F.count_distinct("origin").alias("folds")).join(evaluate.coverage(bt, chosen, spread).select("series", "coverage"), "series", "left")
+    grade = results.graded(folds.withColumn("horizon", F.lit(horizon)).withColumn("requested", F.lit(horizon))).select("series", "tier")
+    full = full.join(grade, "series")
+    rest = s.join(full.select("series").distinct(), "series", "left_anti")
+    one = materialised(evaluate.holdouts(rest, horizon, season))
+    picked = results.lightweight(evaluate.fold_scores(one))
+    short = evaluate.published(rest, one, picked, horizon, season).withColumn("tier", F.lit("conditionally_supported"))
+    last = results.best_effort(rest.join(picked.select("series"), "series", "left_anti"), horizon).withColumn("model", F.lit("last_value"))
+    out = full.unionByName(short).unionByName(last)
+    return out.join(evidence.future_grid(df, horizon, step), ["series", "step"]) if step else out
 
 
 def investigate(df: DataFrame, sensitivity: float = 1.0) -> DataFrame:
-    """What changed: the strongest mean shift of each series and the regime since."""
+    """What changed: up to three mean shifts of each series, ranked by what they explain, and the regime since each."""
     s = indexed(df)
-    cp = descriptive.changepoint(s, sensitivity)
-    return cp.join(descriptive.regime(s, cp), "series", "left")
+    found = materialised(descriptive.changepoints(s, sensitivity))
+    ranks = results.ranked_changes(found).select("series", "split", "rank", "dominant")
+    return found.join(ranks, ["series", "split"]).join(descriptive.regimes(s, found).select("series", "split", "post", "regime"), ["series", "split"])
 
 
 def detect(df: DataFrame, season: int = 1, threshold: float = descriptive.THRESHOLD) -> DataFrame:
     return descriptive.detect(indexed(df), season, threshold).where("votes > 0")
 
 
+def graded(df: DataFrame, season: int = 1, threshold: float = descriptive.THRESHOLD) -> DataFrame:
+    """Every row scored by the detector that best recovers planted anomalies in its series."""
+    return anomalies.detected(indexed(df), season, threshold)
+
+
+def ask(df: DataFrame, question: dict) -> DataFrame:
+    """The answer to a typed question about series of the frame."""
+    names = [r["series"] for r in df.select("series").distinct().collect()]
+    return questions.answered(indexed(df), questions.compiled(question, names))
+
+
 def _risk(df: DataFrame, horizon: int, season: int, threshold: float) -> DataFrame:
     s = indexed(df)
-    bt = evaluate.backtest(s, horizon, season)
-    res = evaluate.residuals(bt, evaluate.select_model(evaluate.fold_scores(bt)))
-    return decisions.threshold_risk(evaluate.forecast(s, horizon, season), res, threshold)
+    bt, chosen = evaluate.fitted(s, horizon, season)
+    return decisions.threshold_risk(evaluate.published(s, bt, chosen, horizon, season), evaluate.residuals(bt, chosen), threshold)
 
 
 def monitor(df: DataFrame, horizon: int, season: int, threshold: float, alert_cost: float = 1.0, miss_cost: float = 1.0) -> DataFrame:

@@ -68,14 +68,24 @@ def binomial_two_sided(wins: int, losses: int) -> float:
 
 
 def isotonic(values: Column) -> Column:
-    """The nearest non-decreasing array in least squares: max over starts of min over ends of the means between."""
-    n = F.size(values)
-    steps = F.sequence(F.lit(1), n)
-    part = lambda a, b: F.slice(values, a, b - a + 1)
-    mean = lambda x: F.aggregate(x, F.lit(0.0), lambda s, v: s + v) / F.size(x)
-    fit = lambda i: F.array_max(F.transform(F.sequence(F.lit(1), i), lambda a: F.array_min(F.transform(F.sequence(i, n), lambda b: mean(part(a, b))))))
-    return F.when(n > 0, F.transform(steps, fit)).otherwise(values)
+    """The nearest non-decreasing array in least squares, by pooling neighbours that are out of order.
 
+    A fold over the values keeps a stack of blocks (mean, count); a value that is less than the last block's mean is pooled
+    with it, and on, as long as the means fall.
+    """
+    none = F.array().cast("array<struct<m:double,c:int>>")
 
-def running_max(partition: list[str], order: str, value: str) -> Column:
-    return F.max(value).over(Window.partitionBy(*partition).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    def pool(stack: Column, v: Column) -> Column:
+        # How many blocks from the end are pooled: while the mean of what is pooled is under the block before.
+        one = F.struct(v.cast("double").alias("m"), F.lit(1).alias("c"), F.lit(0).alias("k"), F.lit(True).alias("on"))
+
+        def take(s: Column, b: Column) -> Column:
+            more = s["on"] & (b["m"] > s["m"])
+            both = F.struct(((s["m"] * s["c"] + b["m"] * b["c"]) / (s["c"] + b["c"])).alias("m"), (s["c"] + b["c"]).alias("c"), (s["k"] + 1).alias("k"), F.lit(True).alias("on"))
+            return F.when(more, both).otherwise(F.struct(s["m"].alias("m"), s["c"].alias("c"), s["k"].alias("k"), F.lit(False).alias("on")))
+
+        done = F.aggregate(F.reverse(stack), one, take)
+        return F.get(F.transform(F.array(done), lambda x: F.concat(F.slice(stack, F.lit(1), F.size(stack) - x["k"]), F.array(F.struct(x["m"].alias("m"), x["c"].alias("c"))))), 0)
+
+    blocks = F.aggregate(values, none, pool)
+    return F.flatten(F.transform(blocks, lambda b: F.array_repeat(b["m"], b["c"])))

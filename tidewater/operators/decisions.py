@@ -40,3 +40,21 @@ def regret(table: DataFrame) -> DataFrame:
 def simulate(points: DataFrame, shift: float = 0.0, scale: float = 1.0, from_step: int = 1) -> DataFrame:
     """The forecast under a shift and a scale that begin at a step."""
     return points.withColumn("point", F.when(F.col("step") >= from_step, F.col("point") * scale + shift).otherwise(F.col("point")))
+
+
+def any_step(risk: DataFrame) -> DataFrame:
+    """(series, peak, any_step): the largest step probability, and 1 - product of (1 - p)."""
+    return risk_summary(risk).select("series", "peak", "any_step")
+
+
+def evaluated_actions(table: DataFrame) -> DataFrame:
+    """Of (action, scenario, p, utility, feasible): expected utilities of feasible actions, ranked; status says what is missing.
+
+    degraded where a utility is null; invalid where the probabilities of an action do not add to 1 within 0.05.
+    """
+    a = table.groupBy("action").agg(F.bool_and("feasible").alias("feasible"), F.sum(F.col("p") * F.col("utility")).alias("utility"), F.sum("p").alias("p"), F.count_if(F.col("utility").isNull()).alias("none"))
+    status = F.when(F.abs(F.col("p") - 1) > 0.05, "invalid").when(F.col("none") > 0, "degraded").when(~F.col("feasible"), "infeasible").otherwise("evaluated")
+    a = a.withColumn("status", status)
+    usable = F.col("status") == "evaluated"
+    rank = F.when(usable, F.row_number().over(Window.partitionBy(usable).orderBy(F.col("utility").desc(), "action")))
+    return a.select("action", "status", F.when(F.col("none") == 0, F.col("utility")).alias("utility"), rank.cast("long").alias("rank"))

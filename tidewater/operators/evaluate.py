@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..frames import histories, materialised
-from ..functions.stats import TINY, conformal_quantile
+from ..functions.stats import TINY, conformal_quantile, isotonic
 from .models import BASELINES, MODELS
 from .recursive import RECURSIVE, with_predictions
 
@@ -90,18 +90,63 @@ def coverage(bt: DataFrame, chosen: DataFrame, spread: DataFrame, low: str = "s1
     return t.groupBy("series").agg(F.avg(inside.cast("int")).alias("coverage"), F.count("*").alias("n"))
 
 
-def forecast(df: DataFrame, horizon: int, season: int, models: tuple[str, ...] = tuple(MODELS)) -> DataFrame:
-    """(series, model, step, point, q05 ... q95): chosen by backtest, published with conformal quantiles."""
+def fitted(df: DataFrame, horizon: int, season: int, models: tuple[str, ...] = tuple(MODELS)) -> tuple[DataFrame, DataFrame]:
+    """The backtest and the chosen models of every series with folds, each worked out once."""
     bt = materialised(backtest(df, horizon, season, models))
-    chosen = materialised(select_model(fold_scores(bt)))
-    spread = spreads(residuals(bt, chosen))
+    return bt, materialised(select_model(fold_scores(bt)))
+
+
+def published(df: DataFrame, bt: DataFrame, chosen: DataFrame, horizon: int, season: int, models: tuple[str, ...] = tuple(MODELS)) -> DataFrame:
+    """(series, model, step, point, q05 ... q95) of the chosen models fitted to all rows, with conformal quantiles.
+
+    Offsets are made to grow with the lead, as the nearest that do in least squares, and quantiles of a step are in order.
+    """
+    spread = ordered_spreads(spreads(residuals(bt, chosen)))
     h = histories(df).join(chosen.select("series", "model"), "series")
     keep = max(MAX_FIT, 4 * season)
     h = h.withColumn("h", F.slice("h", F.greatest(F.lit(1), F.size("h") - keep + 1), F.lit(keep)))
     points = F.coalesce(*[F.when(F.col("model") == m, MODELS[m](F.col("h"), horizon, season)) for m in models])
     p = h.select("series", "model", F.posexplode(points).alias("i", "point")).withColumn("step", (F.col("i") + 1).cast("long"))
     out = p.join(spread.withColumnRenamed("lead", "step"), ["series", "step"], "left")
-    return out.select("series", "model", "step", "point", *[(F.col("point") + F.col(f"s{round(q * 100):02d}")).alias(f"q{round(q * 100):02d}") for q in QUANTILES])
+    # Leads that no fold reached have the spread of the last one that did.
+    known = Window.partitionBy("series").orderBy("step")
+    return out.select("series", "model", "step", "point", *[(F.col("point") + F.last(f"s{round(q * 100):02d}", True).over(known)).alias(f"q{round(q * 100):02d}") for q in QUANTILES])
+
+
+def ordered_spreads(spread: DataFrame) -> DataFrame:
+    """Spreads (series, lead, s05 ... s95) whose size never shrinks with the lead, and whose levels are in order.
+
+    Upper offsets are replaced by the nearest rising ones in least squares, lower ones by the nearest falling; then each level
+    is at least the one below.
+    """
+    names = [f"s{round(q * 100):02d}" for q in QUANTILES]
+    seq = spread.groupBy("series").agg(F.array_sort(F.collect_list(F.struct("lead", *names))).alias("x"))
+    for n, q in zip(names, QUANTILES, strict=True):
+        values = F.col(f"x.{n}")
+        seq = seq.withColumn(n, isotonic(values) if q > 0.5 else F.transform(isotonic(F.transform(values, lambda v: -v)), lambda v: -v) if q < 0.5 else values)
+    zipped = F.arrays_zip(F.col("x.lead").alias("lead"), *[F.col(n) for n in names])
+    rows = seq.select("series", F.explode(zipped).alias("z")).select("series", "z.lead", *[F.col("z")[n].alias(n) for n in names])
+    for a, b in zip(names, names[1:], strict=False):
+        rows = rows.withColumn(b, F.greatest(a, b))
+    return rows
+
+
+def forecast(df: DataFrame, horizon: int, season: int, models: tuple[str, ...] = tuple(MODELS)) -> DataFrame:
+    """(series, model, step, point, q05 ... q95): chosen by backtest, published with conformal quantiles."""
+    bt, chosen = fitted(df, horizon, season, models)
+    return published(df, bt, chosen, horizon, season, models)
+
+
+def holdouts(df: DataFrame, horizon: int, season: int) -> DataFrame:
+    """The backtest of one trailing holdout, of min(horizon, a quarter of the rows), for series too short for two folds."""
+    first = max(2 * season, 2 * horizon, 8)
+    h = histories(df).withColumn("n", F.size("h")).where((F.col("n") >= horizon + 2) & (F.col("n") < first + 2 * horizon))
+    size = F.least(F.lit(horizon), F.greatest(F.lit(1), F.floor(F.col("n") / 4).cast("int")))
+    h = h.withColumn("k", size).withColumn("past", F.slice("h", F.lit(1), F.col("n") - F.col("k"))).withColumn("actual", F.slice("h", F.col("n") - F.col("k") + 1, F.col("k")))
+    runs = F.explode(F.array(*[F.struct(F.lit(m).alias("model"), MODELS[m](F.col("past"), horizon, season).alias("p")) for m in MODELS]))
+    x = h.select("series", (F.col("n") - F.col("k")).cast("long").alias("origin"), "k", "actual", runs.alias("r")).where("r.p is not null")
+    each = F.posexplode(F.arrays_zip(F.col("actual").alias("a"), F.slice("r.p", F.lit(1), F.col("k")).alias("p"))).alias("i", "x")
+    return x.select("series", "origin", F.lit("select").alias("role"), "r.model", each).select("series", "origin", "role", "model", (F.col("i") + 1).cast("long").alias("lead"), F.col("x.a").alias("actual"), F.col("x.p").alias("predicted"))
 
 
 def ensemble_weights(scores: DataFrame, cap: float = 0.7, rounds: int = 3) -> DataFrame:

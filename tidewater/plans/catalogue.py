@@ -451,3 +451,4 @@ def _(spark, d):
 from . import evidence_queries  # noqa: E402, F401
 
 from . import ledger_queries  # noqa: E402, F401
+from . import model_queries  # noqa: E402, F401
