@@ -24,10 +24,27 @@ def join_as_of(grid: DataFrame, v: DataFrame, as_of) -> DataFrame:
 def as_of_folds(v: DataFrame, folds: DataFrame) -> DataFrame:
     """For each (fold, cutoff) the history known at its cutoff, so that no fold sees later revisions.
 
-    Folds are few; their number multiplies the rows read, and the aggregation brings them back to one for each time.
+    A vintage is the answer from the time it is known, and its valid time is past, until the next is known. So each vintage
+    goes to the folds whose cutoffs lie in that interval, and nothing is multiplied but the answers. Folds are few and
+    travel as one array.
     """
-    both = v.join(folds, (F.col("known") <= F.col("cutoff")) & (F.col("valid") <= F.col("cutoff")))
-    return both.groupBy("fold", "series", "valid").agg(F.max_by("value", F.struct("known", "revision")).alias("value"))
+    w = Window.partitionBy("series", "valid").orderBy("known", "revision")
+    cutoffs = folds.agg(F.collect_list(F.struct("fold", "cutoff")).alias("_f"))
+    d = v.withColumn("_next", F.lead("known").over(w)).crossJoin(F.broadcast(cutoffs))
+    inside = lambda f: (f["cutoff"] >= F.col("known")) & (f["cutoff"] >= F.col("valid")) & (F.col("_next").isNull() | (f["cutoff"] < F.col("_next")))
+    return d.select(F.explode(F.filter("_f", inside)["fold"]).alias("fold"), "series", "valid", "value")
+
+
+def value_as_of(v: DataFrame, series: str, valid, as_of) -> DataFrame:
+    """At most one row: what was known of one valid time; the predicates reach the scan."""
+    return snapshot(v.where((F.col("series") == series) & (F.col("valid") == F.lit(valid))), as_of)
+
+
+def from_rows(df: DataFrame) -> DataFrame:
+    """Plain rows (series, ts, value) as a vintage table: each is known from its own time on. Duplicates are refused."""
+    if df.groupBy("series", "ts").count().where("count > 1").limit(1).count():
+        raise ValueError("DUPLICATE_TIMESTAMP: a series has two rows at one time")
+    return df.select("series", F.col("ts").alias("valid"), F.col("ts").alias("known"), F.lit(1).cast("long").alias("revision"), "value")
 
 
 def ingest(store: DataFrame, batch: DataFrame) -> DataFrame:
@@ -36,7 +53,11 @@ def ingest(store: DataFrame, batch: DataFrame) -> DataFrame:
     A row is new unless its valid time, known time and value are stored; of equal rows of a batch the first counts.
     """
     keys = ["series", "valid", "known", "value"]
-    fresh = batch.groupBy(*keys).agg(F.min("row_no").alias("row_no")).join(store.select(*keys), keys, "left_anti")
+    known = store.select(*keys).withColumnRenamed("value", "_v")
+    fresh = batch.groupBy(*keys).agg(F.min("row_no").alias("row_no"))
+    # A value that is null is stored like any other, so that replays find it.
+    same = [fresh[k] == known[k] for k in keys[:-1]] + [fresh["value"].eqNullSafe(known["_v"])]
+    fresh = fresh.join(known, same, "left_anti")
     last = store.groupBy("series", "valid").agg(F.max("revision").alias("last"))
     order = Window.partitionBy("series", "valid").orderBy("known", "row_no")
     out = fresh.withColumn("r", F.row_number().over(order)).join(last, ["series", "valid"], "left")

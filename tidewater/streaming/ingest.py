@@ -22,8 +22,10 @@ def ingest_stream(batches: DataFrame, store: str, checkpoint: str) -> StreamingQ
     def append(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
         schema = "series string, valid timestamp_ntz, known timestamp_ntz, revision long, value double"
+        low, high = batch.agg(F.min("valid"), F.max("valid")).first()
         try:
-            old = spark.read.schema(schema).parquet(store)
+            # Only vintages of the batch's valid times matter; the filter prunes the rest of the store at the scan.
+            old = spark.read.schema(schema).parquet(store).where(F.col("valid").between(F.lit(low), F.lit(high)))
         except AnalysisException:  # the store does not exist before the first batch
             old = spark.createDataFrame([], schema)
         ingest(old, batch).write.mode("append").parquet(store)
