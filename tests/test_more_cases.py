@@ -149,6 +149,15 @@ def test_detectors_against_loops():
     assert anomalies.slope_scores(v, 6) == pytest.approx(np.append(s, s[-1]))
     scores = anomalies.step_scores(v, 6)
     assert (scores[:8] == 0).all() and len(scores) == 90
+    one = anomalies.prefix_theta(v)
+    assert [one[k - 1] for k in range(2, 91)] == pytest.approx([recursive.theta(v[None, :k], 1, 6)[0, 0] for k in range(2, 91)])
+    long = np.array([r.gauss(0, 1) for _ in range(1300)])
+    first, errors = 8, []
+    for at in range(first, 1300):
+        errors.append(long[at] - recursive.theta(long[None, max(0, at - anomalies.TRAINED) : at], 1, 1)[0, 0])
+    naive = long[first:] - long[first - 1 : -1]
+    e = min((naive, np.array(errors)), key=lambda x: np.abs(x).mean())
+    assert anomalies.step_scores(long, 1)[first:] == pytest.approx(e / max(1.4826 * np.median(np.abs(e - np.median(e))), 1e-12))
 
 
 def test_questions_say_what_is_wrong(spark):

@@ -13,6 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from .models import THETA_ALPHAS
 from .recursive import theta
 
 THRESHOLD = 3.5
@@ -68,6 +69,22 @@ def slope_scores(v: np.ndarray, season: int) -> np.ndarray:
     return np.append(s, s[-1])
 
 
+def prefix_theta(v: np.ndarray) -> np.ndarray:
+    """The one-step theta forecast after each of the values, from all up to it, in one pass; the first is the value."""
+    a = np.array(THETA_ALPHAS)
+    level, sse, out = np.full(len(a), v[0]), np.zeros(len(a)), np.empty(len(v))
+    out[0] = v[0]
+    for t in range(1, len(v)):
+        e = v[t] - level
+        sse += e * e
+        level = a * v[t] + (1 - a) * level
+        out[t] = level[int(sse.argmin())]
+    m = np.arange(2, len(v) + 1)
+    total, weighted = np.cumsum(v)[1:], np.cumsum(np.arange(len(v)) * v)[1:]
+    out[1:] += (weighted - (m - 1) / 2 * total) / (m * (m * m - 1) / 12) / 2
+    return out
+
+
 def step_scores(v: np.ndarray, season: int) -> np.ndarray:
     """One-step errors of the better of the seasonal naive and theta forecasts; rows too early for them score 0."""
     first, n = min(max(8, season + 1), max(1, len(v) // 2)), len(v)
@@ -77,14 +94,13 @@ def step_scores(v: np.ndarray, season: int) -> np.ndarray:
     naive = v[first:] - v[np.arange(first, n) - season] if season <= first else None
     errors = [] if naive is None else [naive]
     guess = np.empty(n - first)
-    for at in range(first, n):
-        # Histories still growing differ in length; full ones run together.
-        if at >= keep:
-            windows = np.lib.stride_tricks.sliding_window_view(v, keep)[at - keep : n - keep]
-            for a in range(0, len(windows), 512):
-                guess[at - first + a : at - first + a + 512] = theta(windows[a : a + 512], 1, season)[:, 0]
-            break
-        guess[at - first] = theta(v[None, :at], 1, season)[0, 0]
+    growing = min(n, keep)
+    if growing > first:
+        guess[: growing - first] = prefix_theta(v[: growing - 1])[first - 1 :]
+    # Full histories are of one length and run together.
+    for at in range(max(first, keep), n, 512):
+        windows = np.lib.stride_tricks.sliding_window_view(v[at - keep : min(n, at + 512) - 1], keep)
+        guess[at - first : at - first + len(windows)] = theta(windows, 1, season)[:, 0]
     errors.append(v[first:] - guess)
     x = min(errors, key=lambda e: float(np.abs(e).mean()))
     return np.concatenate([np.zeros(first), x / scale(x)])
