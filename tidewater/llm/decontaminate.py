@@ -118,6 +118,7 @@ def word_counts(docs: DataFrame, text: str, vocabulary: set[bytes]) -> dict[byte
         yield pd.DataFrame({"word": list(total), "n": list(total.values())})
 
     found = docs.select(F.col(text).cast("string").alias("t")).mapInPandas(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
+    known.destroy()
     return {bytes(r["word"]): r["n"] for r in found}
 
 

@@ -13,8 +13,9 @@ SimHash reaches few of the pairs at `least`, as one changed word of a short line
 queries set, an exact join finds the rest: a line of n words and one within the similarity share one of the
 floor(2 (1 - least) n) + 1 rarest pairs of adjacent words of each, as an edit breaks two such pairs at most. Rarity is
 that of the two words, read from COUNTERS counters over a sample of SAMPLE_WORDS words; any order gives the same links. SimHash has joined the large groups by
-then, and lines of one group are not compared again. Candidates whose words differ in more bits of a
-parity sketch than the edits allowed can flip fall inside the join. With `whole`, lines of fewer than `min_words` words
+then, and lines of one group are not compared again. Candidates whose words, repeats told apart,
+differ in more bits of a parity sketch than the edits allowed can flip fall inside the join; lines of over TOKENS words have
+no such sketch. With `whole`, lines of fewer than `min_words` words
 take part too, as exact copies only.
 
 More blocks make longer join keys, so the number of blocks follows the number of classes; the pairs found do not depend
@@ -44,7 +45,8 @@ CODES = 0xC800
 COUNTERS = 1 << 18
 SAMPLE_WORDS = 10_000_000
 SLICES = 3
-PARITY = 4
+PARITY = 8
+TOKENS = 4096
 PARITIES = [f"p{j}" for j in range(PARITY)]
 UNSPACED = r"([\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}])"
 
@@ -113,10 +115,21 @@ def parity(hashes: Column) -> Column:
     return F.aggregate(hashes, F.struct(*[F.lit(0).cast("long").alias(p) for p in PARITIES]), flip)
 
 
+def tokens(h: Column) -> Column:
+    """Hashes of the words and how often each came before in the line, so that repeats are different tokens."""
+
+    def numbered(s: Column) -> Column:
+        return F.transform(s, lambda w, i: F.when(F.coalesce(F.get(s, i - 1) == w, F.lit(False)), F.xxhash64(w, i + 1 - F.array_position(s, w))).otherwise(F.xxhash64(w)))
+
+    return bound(F.sort_array(h), numbered)
+
+
 def sketched(rows: DataFrame) -> DataFrame:
-    """Rows with the word hashes `h`: with `sim` and the parities of their distinct words."""
+    """Rows with the word hashes `h`: with `sim` of their distinct words, and the parities of their tokens up to TOKENS words."""
     # Made once, in an array's function: as columns of their own they would be worked out again wherever they are used.
-    both = bound(F.transform(F.array_distinct("h"), lambda w: F.xxhash64(w)), lambda x: F.struct(simhash(x).alias("sim"), parity(x).alias("p")))
+    sim = bound(F.transform(F.array_distinct("h"), lambda w: F.xxhash64(w)), simhash)
+    flipped = bound(F.when(F.size("h") <= TOKENS, tokens(F.col("h"))).otherwise(F.array().cast("array<long>")), parity)
+    both = F.struct(sim.alias("sim"), flipped.alias("p"))
     return rows.withColumn("_x", F.explode(F.array(both))).select(*rows.columns, "_x.sim", "_x.p.*")
 
 
@@ -221,7 +234,8 @@ def allowed(a: str, b: str, least: float) -> Column:
     longer, shorter = F.greatest(*of("len")), F.least(*of("len"))
     flips = sum((F.bit_count(x.bitwiseXOR(y)) for x, y in map(of, PARITIES)), F.lit(0))
     ra, rb = of("root")
-    return (ra != rb) & (shorter >= longer * F.lit(least) - F.lit(1e-9)) & (flips <= 2 * F.floor(longer * F.lit(1 - least) + F.lit(1e-9)))
+    apart = flips > 2 * F.floor(longer * F.lit(1 - least) + F.lit(1e-9))
+    return (ra != rb) & (shorter >= longer * F.lit(least) - F.lit(1e-9)) & ~(apart & (longer <= TOKENS))
 
 
 def met_ends(every: DataFrame, least: float) -> DataFrame:
