@@ -48,6 +48,11 @@ def conformal_quantile(values: Column, level: float) -> Column:
     return F.get(F.array_sort(values), (conformal_rank(F.size(values), level) - 1).cast("int"))
 
 
+def nearest_rank(values: Column, level: float) -> Column:
+    """The order statistic ceil(level * n) of an array."""
+    return F.get(F.array_sort(values), (F.greatest(F.ceil(F.lit(level) * F.size(values)), F.lit(1)) - 1).cast("int"))
+
+
 def guarded_corr(x: str, y: str) -> Column:
     """Pearson's r; null for fewer than three pairs or a vanishing variance."""
     n = F.count_if(F.col(x).isNotNull() & F.col(y).isNotNull())

@@ -260,3 +260,21 @@ def usual_level(df: DataFrame, recent: int = 24) -> DataFrame:
     """(series, level): the median of the last `recent` rows."""
     n = F.count("*").over(Window.partitionBy("series"))
     return df.withColumn("_n", n).where(F.col("idx") >= F.col("_n") - recent).groupBy("series").agg(median("value").alias("level"))
+
+
+def event_adjusted(df: DataFrame, points: DataFrame, decay: float = 0.6) -> DataFrame:
+    """Forecast rows (series, step, active, point) with `level`, `decayed` and `ramped`: the point and the event's effect.
+
+    The effect is that of past active rows (series, idx, value, active) on what is left of the line through the ends, taken
+    for each shape as the least-squares amplitude of its weights; active steps of the future form new stretches.
+    """
+    ends = df.groupBy("series").agg(F.min_by("value", "idx").alias("a"), ((F.max_by("value", "idx") - F.min_by("value", "idx")) / (F.count("*") - 1)).alias("b"))
+    d = df.join(ends, "series").withColumn("x", F.col("value") - F.col("a") - F.col("b") * F.col("idx"))
+    calm = d.where(~F.col("active")).groupBy("series").agg(F.avg("x").alias("usual"))
+    w = event_shapes(d.withColumn("active", F.col("active")), decay).join(calm, "series").withColumn("r", F.col("x") - F.col("usual"))
+    shapes = ("level", "decay", "ramp")
+    amp = w.groupBy("series").agg(*[(F.sum(F.col(k) * F.col("r")) / F.sum(F.col(k) * F.col(k))).alias(f"_{k}") for k in shapes])
+    ahead = event_shapes(points.withColumn("idx", F.col("step")), decay).select("series", "step", *[F.col(k).alias(f"w_{k}") for k in shapes])
+    out = points.join(amp, "series", "left").join(ahead, ["series", "step"], "left")
+    add = lambda k: F.col("point") + F.coalesce(F.col(f"_{k}") * F.col(f"w_{k}"), F.lit(0.0))
+    return out.select("series", "step", "active", "point", add("level").alias("level"), add("decay").alias("decayed"), add("ramp").alias("ramped"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..frames import histories, materialised
-from ..functions.stats import TINY, conformal_quantile, isotonic
+from ..functions.stats import TINY, conformal_quantile, isotonic, pinball, wilson_upper
 from .models import BASELINES, MODELS
 from .recursive import RECURSIVE, with_predictions
 
@@ -87,7 +87,29 @@ def coverage(bt: DataFrame, chosen: DataFrame, spread: DataFrame, low: str = "s1
     """The share of the test fold inside the band."""
     t = bt.where("role = 'test'").join(chosen.select("series", "model"), ["series", "model"]).join(spread, ["series", "lead"])
     inside = (F.col("actual") >= F.col("predicted") + F.col(low)) & (F.col("actual") <= F.col("predicted") + F.col(high))
-    return t.groupBy("series").agg(F.avg(inside.cast("int")).alias("coverage"), F.count("*").alias("n"))
+    out = t.groupBy("series").agg(F.avg(inside.cast("int")).alias("coverage"), F.count("*").alias("n"))
+    # What a few points can deny: the upper end of their 95 % interval.
+    return out.withColumn("upper", wilson_upper(F.col("coverage") * F.col("n"), F.col("n")))
+
+
+def pinball_scores(bt: DataFrame, chosen: DataFrame, spread: DataFrame, levels: tuple[float, ...] = QUANTILES) -> DataFrame:
+    """(series, level, loss): the mean quantile loss of every level on the test fold."""
+    t = bt.where("role = 'test'").join(chosen.select("series", "model"), ["series", "model"]).join(spread, ["series", "lead"])
+    each = F.explode(F.array(*[F.struct(F.lit(q).alias("level"), (F.col("predicted") + F.col(f"s{round(q * 100):02d}")).alias("q")) for q in levels])).alias("x")
+    rows = t.select("series", "actual", each)
+    return rows.groupBy("series", F.col("x.level").alias("level")).agg(F.avg(pinball(F.col("actual"), F.col("x.q"), F.col("x.level"))).alias("loss"))
+
+
+def dense_origins(df: DataFrame, horizon: int, season: int, stride: int = 1) -> DataFrame:
+    """(series, origin): origins for selection only, `stride` apart, that end before the calibration fold begins.
+
+    Overlapping folds compare models with less noise, but their residuals depend on each other and calibrate nothing.
+    """
+    first = max(2 * season, 2 * horizon, 8)
+    n = df.groupBy("series").agg(F.count("*").alias("n"))
+    folds_ = F.floor((F.col("n") - horizon - first) / horizon) + 1
+    last = first + (folds_ - 3) * horizon
+    return n.where(last >= first).select("series", F.explode(F.sequence(F.lit(first).cast("long"), last.cast("long"), F.lit(max(1, stride)).cast("long"))).alias("origin"))
 
 
 def fitted(df: DataFrame, horizon: int, season: int, models: tuple[str, ...] = tuple(MODELS)) -> tuple[DataFrame, DataFrame]:

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..frames import histories
 from ..functions.parsing import parse_time
-from ..operators import anomalies, decisions, evaluate, lineage, multivariate, quality, questions
+from ..functions.stats import nearest_rank
+from ..operators import anomalies, context, decisions, evaluate, lineage, multivariate, quality, questions
 from ..sources.readers import wide_to_long
 from ..sources.sinks import redacted
-from .catalogue import DAYS, FOLDS, HOURS, H, LINEAR, ORDER_DAYS, SEASON, days, hours, order_days, query, rounded
+from .catalogue import CHOSEN, DAYS, FOLDS, HOURS, H, LINEAR, ORDER_DAYS, SEASON, days, hours, order_days, query, rounded
 from .evidence_queries import DIFFS, SUPPORT, _compared
 from .ledger_queries import table
 
@@ -251,3 +253,35 @@ def _(spark, d):
 )
 def _(spark, d):
     return rounded(decisions.evaluated_actions(actions(spark, d)))
+
+
+@query(
+    "pinball_scores",
+    f"WITH {CHOSEN}, re AS (SELECT series, actual - predicted AS e FROM bt JOIN ch USING (series, model) WHERE role <> 'test'), p AS (SELECT series, list_sort(list(e)) AS x FROM re GROUP BY series), t AS (SELECT bt.series, actual, predicted FROM bt JOIN ch USING (series, model) WHERE role = 'test'), l(q) AS (VALUES (0.1::DOUBLE), (0.5), (0.9)), y AS (SELECT t.series, q, actual - predicted - x[CASE WHEN q >= .5 THEN least(CAST(ceil((len(x) + 1) * q) AS BIGINT), len(x)) ELSE greatest(CAST(floor((len(x) + 1) * q) AS BIGINT), 1) END] AS d FROM t JOIN p USING (series), l) SELECT series, q AS level, round(avg(CASE WHEN d >= 0 THEN q * d ELSE (q - 1) * d END), 6) AS loss FROM y GROUP BY series, q",
+)
+def _(spark, d):
+    bt = evaluate.backtest(days(spark, d), H, SEASON, LINEAR)
+    chosen = evaluate.select_model(evaluate.fold_scores(bt))
+    return rounded(evaluate.pinball_scores(bt, chosen, evaluate.spreads(evaluate.residuals(bt, chosen)), (0.1, 0.5, 0.9)))
+
+
+@query("dense_origins", f"WITH {HOURS}, n AS (SELECT series, count(*) AS n FROM s GROUP BY series), l AS (SELECT series, 48 + ((n - 24 - 48) // 24 + 1 - 3) * 24 AS last FROM n) SELECT series, unnest(range(48, last + 1, 7)) AS origin FROM l")
+def _(spark, d):
+    return evaluate.dense_origins(hours(spark, d), 24, 24, 7)
+
+
+@query("nearest_rank", f"WITH {HOURS}, l AS (SELECT series, list_sort(list(value)) AS v FROM s GROUP BY series) SELECT series, round(v[CAST(ceil(.8 * len(v)) AS BIGINT)], 6) AS q80, round(v[CAST(ceil(.05 * len(v)) AS BIGINT)], 6) AS q05 FROM l")
+def _(spark, d):
+    h = histories(hours(spark, d))
+    return rounded(h.select("series", nearest_rank(F.col("h"), 0.8).alias("q80"), nearest_rank(F.col("h"), 0.05).alias("q05")))
+
+
+@query(
+    "event_adjusted",
+    f"WITH {DAYS}, e AS (SELECT series, arg_min(value, idx) AS a, (arg_max(value, idx) - arg_min(value, idx)) / (count(*) - 1) AS b, arg_max(value, idx) AS p FROM s GROUP BY series), x AS (SELECT s.series, idx, value - a - b * idx AS x, idx % 10 < 3 AS on_ FROM s JOIN e USING (series)), u AS (SELECT series, avg(x) AS u FROM x WHERE NOT on_ GROUP BY series), w AS (SELECT x.series, x - u AS r, power(.6, idx % 10) AS dc, (idx % 10 + 1) / 3 AS rp FROM x JOIN u USING (series) WHERE on_), m AS (SELECT series, avg(r) AS l, sum(dc * r) / sum(dc * dc) AS d, sum(rp * r) / sum(rp * rp) AS g FROM w GROUP BY series), k AS (SELECT unnest(range(1, 6)) AS step) SELECT series, step, step IN (2, 3, 4) AS active, round(p, 6) AS point, round(CASE WHEN step IN (2, 3, 4) THEN p + l ELSE p END, 6) AS level, round(CASE WHEN step IN (2, 3, 4) THEN p + d * power(.6, step - 2) ELSE p END, 6) AS decayed, round(CASE WHEN step IN (2, 3, 4) THEN p + g * (step - 1) / 3 ELSE p END, 6) AS ramped FROM e JOIN m USING (series), k",
+)
+def _(spark, d):
+    s = days(spark, d)
+    steps = F.explode(F.sequence(F.lit(1).cast("long"), F.lit(5).cast("long")))
+    ahead = s.groupBy("series").agg(F.max_by("value", "idx").alias("point")).withColumn("step", steps).withColumn("active", F.col("step").between(2, 4))
+    return rounded(context.event_adjusted(s.withColumn("active", F.col("idx") % 10 < 3), ahead))
