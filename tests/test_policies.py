@@ -8,9 +8,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidewater import adapters, config
+from tidewater import adapters, api, config, registry
 from tidewater.functions import spans
 from tidewater.operators import admission, bitemporal, episodes, evaluate, ledger, volatility
+from tidewater.sources import refs
+from tidewater.sources.sinks import write_forecast
 
 DAY = dt.date(2026, 1, 1)
 
@@ -155,3 +157,38 @@ def test_folds_see_what_was_known(spark):
     null = spark.createDataFrame([("a", dt.datetime(2026, 1, 1), dt.datetime(2026, 1, 2), None, 0)], "series string, valid timestamp_ntz, known timestamp_ntz, value double, row_no long")
     store = bitemporal.ingest(spark.createDataFrame([], "series string, valid timestamp_ntz, known timestamp_ntz, revision long, value double"), null)
     assert store.count() == 1 and bitemporal.ingest(store, null).count() == 0
+
+
+def test_quality_levels(spark):
+    day = lambda i: DAY + dt.timedelta(days=i)
+    rows = [("clean", day(i), 1.0) for i in range(20)]
+    rows += [("twice", day(i), 1.0) for i in (*range(20), 3)] + [("differs", day(i), float(i)) for i in range(20)] + [("differs", day(3), 9.0)]
+    rows += [("hole", day(i), 1.0) for i in range(20) if i not in (5, 6)] + [("broken", day(i), 1.0) for i in (0, 1, 2, 40, 41)]
+    got = {r["series"]: r["status"] for r in api.quality_levels(spark.createDataFrame(rows, "series string, ts date, value double")).collect()}
+    assert got == {"clean": "clean", "twice": "repaired_safe", "differs": "repaired_aggressive", "hole": "repaired_aggressive", "broken": "refused"}
+
+
+def test_written_tables_are_found_again(spark, tmp_path):
+    known = refs.Refs(most=2)
+    names = [known.put(spark.range(i)) for i in (1, 2, 3)]
+    assert known.get(names[2]).count() == 3
+    with pytest.raises(KeyError):
+        known.get(names[0])
+    f = spark.createDataFrame([("a", "2026-01-01", 1.0, 0.5, "supported")], "series string, timestamp string, point double, q10 double, tier string")
+    where = write_forecast(f, str(tmp_path))
+    assert refs.read_forecast(spark, f"{tmp_path}/{where}").first()["q10"] == 0.5
+    (tmp_path / "act.csv").write_text("day,sales\n2026-01-01,$5\n2026-01-02,7\n")
+    assert [r["actual"] for r in refs.read_actuals(spark, f"{tmp_path}/act.csv").orderBy("ts").collect()] == [5.0, 7.0]
+    (tmp_path / "cov.csv").write_text("day,seen,temp\n2026-01-01,2025-12-30,4.5\n")
+    assert refs.read_covariates(spark, f"{tmp_path}/cov.csv", [("temp", "continuous")], "day", "seen").first()["temp"] == 4.5
+    r = spark.createDataFrame([("k", 1), ("k", 2), ("m", 3)], "key string, v long")
+    assert refs.append_receipts(r, f"{tmp_path}/receipts", ["key"]) == 2 and refs.append_receipts(r, f"{tmp_path}/receipts", ["key"]) == 0
+    assert {x["v"] for x in spark.read.parquet(f"{tmp_path}/receipts").collect()} == {1, 3}
+    refs.export_snapshot({"receipts": r}, f"{tmp_path}/dump")
+    assert spark.read.json(f"{tmp_path}/dump/receipts").count() == 3
+
+
+def test_capabilities_say_what_they_do(spark):
+    got = registry.capabilities(spark).collect()
+    assert len(got) == len(registry.OPERATORS) + len(registry.MACROS) and all(r["summary"] for r in got)
+    assert {r["claim"] for r in got if r["kind"] == "operator"} == {"descriptive", "associational", "predictive", "decision"}

@@ -40,7 +40,22 @@ def inspect(df: DataFrame) -> DataFrame:
     return out.withColumn("missing", F.greatest(F.floor(seconds / F.col("step_seconds")) + 1 - F.col("n_ts"), F.lit(0))).withColumn("duplicates", F.col("n_rows") - F.col("n_ts"))
 
 
+def quality_levels(df: DataFrame) -> DataFrame:
+    """(series, status, exact, conflicts, missing): the least repair that loads each series on a daily grid.
+
+    clean needs none; repaired_safe has rows to collapse that are exactly equal; repaired_aggressive has rows of one time that
+    differ, or gaps short enough to fill; refused has gaps that must not be filled.
+    """
+    a = df.groupBy("series", "ts").agg(F.count("*").alias("n"), F.count_distinct("value").alias("k"))
+    d = a.groupBy("series").agg(F.sum(F.col("n") - F.col("k")).alias("exact"), F.sum(F.col("k") - 1).alias("conflicts"))
+    gaps = quality.fill_refusals(a.select("series", "ts"))
+    x = d.join(gaps, "series")
+    status = F.when(F.col("problem").isNotNull(), "refused").when((F.col("conflicts") > 0) | (F.col("filled") > 0), "repaired_aggressive").when(F.col("exact") > 0, "repaired_safe").otherwise("clean")
+    return x.select("series", status.alias("status"), "exact", "conflicts", F.col("filled").alias("missing"))
+
+
 def describe(df: DataFrame) -> DataFrame:
+    """A summary of each series."""
     return descriptive.profile(indexed(df))
 
 
