@@ -206,14 +206,11 @@ def _(spark, d):
     return e.select("event_id", parse_time(cell).alias("ts"))
 
 
-@query(
-    "redacted_text",
-    r"""SELECT doc_id, 'see [EMAIL] at [URL] key token=[REDACTED] in [PATH]' AS t FROM documents""",
-)
+@query("redacted_text", "SELECT c_custkey, 'see [EMAIL] at [URL] key token=[REDACTED] in [PATH]' AS t FROM customer")
 def _(spark, d):
-    i = F.col("doc_id").cast("string")
+    i = F.col("c_custkey").cast("string")
     text = F.concat(F.lit("see  user"), i, F.lit("@mail.example.org at https://x.example.org/a?b="), i, F.lit(" key token: abc"), i, F.lit("\n in /home/u"), i, F.lit("/f.txt"))
-    return table(spark, d, "documents").select("doc_id", redacted(text).alias("t"))
+    return table(spark, d, "customer").select("c_custkey", redacted(text).alias("t"))
 
 
 @query("wide_to_long", "SELECT CAST(l_orderkey AS VARCHAR) || '/quantity' AS series, l_shipdate AS ts, l_quantity AS value FROM lineitem UNION ALL SELECT CAST(l_orderkey AS VARCHAR) || '/tax', l_shipdate, l_tax FROM lineitem")
