@@ -45,7 +45,7 @@ CODES = 0xC800
 COUNTERS = 1 << 18
 SAMPLE_WORDS = 10_000_000
 SLICES = 3
-PARITY = 8
+PARITY = 4
 TOKENS = 4096
 PARITIES = [f"p{j}" for j in range(PARITY)]
 UNSPACED = r"([\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}])"
