@@ -30,11 +30,14 @@ def query(name: str, sql: str | None = None):
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Doubles rounded, so that the order of summation does not show, and counts as longs."""
-    out = []
+    """Doubles rounded, so that the order of summation does not show, and counts as longs.
+
+    Ties are those of the scaled binary value, as in DuckDB; round() with digits takes those of the shortest decimal form.
+    """
+    out, scale = [], F.lit(10.0**digits)
     for c, t in df.dtypes:
         x = F.col(c)
-        out.append((F.round(x, digits) + F.lit(0.0)).alias(c) if t == "double" else x.cast("long").alias(c) if t in ("int", "bigint", "smallint") else x)
+        out.append((F.round(x * scale) / scale + F.lit(0.0)).alias(c) if t == "double" else x.cast("long").alias(c) if t in ("int", "bigint", "smallint") else x)
     return df.select(*out)
 
 
