@@ -12,7 +12,7 @@ out of their documents.
 SimHash reaches few of the pairs at `least`, as one changed word of a short line flips many bits. With `whole`, which the
 queries set, an exact join finds the rest: a line of n words and one within the similarity share one of the
 floor(2 (1 - least) n) + 1 rarest pairs of adjacent words of each, as an edit breaks two such pairs at most. Rarity is
-that of the two words, read from COUNTERS counters over a sample of SAMPLE_WORDS words; any order gives the same links. SimHash has joined the large groups by
+that of the two words, read from COUNTERS counters over the words of all lines; any order gives the same links. SimHash has joined the large groups by
 then, and lines of one group are not compared again. Candidates whose words, repeats told apart,
 differ in more bits of a parity sketch than the edits allowed can flip fall inside the join; lines of over TOKENS words have
 no such sketch. With `whole`, lines of fewer than `min_words` words
@@ -29,7 +29,6 @@ Lines of any length take part: SimHash counters of 8, 16 or 64 bits are chosen b
 
 from __future__ import annotations
 
-import math
 from functools import reduce
 from itertools import combinations
 
@@ -43,7 +42,6 @@ LEAST = 0.8
 MIN_WORDS = 5
 CODES = 0xC800
 COUNTERS = 1 << 18
-SAMPLE_WORDS = 10_000_000
 SLICES = 3
 PARITY = 4
 TOKENS = 4096
@@ -195,14 +193,16 @@ def near(a: DataFrame, b: DataFrame, least: float, more: Column) -> DataFrame:
 
 
 def word_ranks(classes: DataFrame) -> bytes:
-    """For each of COUNTERS buckets of words 8 log2(1 + n), 127 at most, n being how often they occur in a sample of classes."""
-    words = classes.agg(F.sum("len")).first()[0] or 0
-    some = classes.where(F.pmod(F.xxhash64("line", F.lit(2)), F.lit(-(-words // SAMPLE_WORDS) or 1)) == 0)
-    seen = some.select(F.explode("h").alias("w")).groupBy(F.pmod("w", F.lit(COUNTERS)).alias("b")).agg(F.count("*").alias("n")).collect()
-    out = bytearray(COUNTERS)
-    for b, n in seen:
-        out[b] = min(127, int(8 * math.log2(1 + n)))
-    return bytes(out)
+    """For each of COUNTERS buckets of words 8 log2(1 + n), 127 at most, n being how often they occur in all classes.
+
+    The table is put together in one task, so that the driver gets one value.
+    """
+    words = classes.select(F.explode("h").alias("w")).select(F.pmod("w", F.lit(COUNTERS)).cast("long").alias("b"), F.lit(1).alias("n"))
+    every = words.unionByName(classes.sparkSession.range(0, COUNTERS, 1, 1).select(F.col("id").alias("b"), F.lit(0).alias("n")))
+    rank = F.least(F.lit(127), F.floor(F.lit(8) * F.log2(F.lit(1) + F.sum("n"))))
+    byte = F.lpad(F.hex(rank.cast("long")), 2, "0").alias("x")
+    table = every.groupBy("b").agg(byte).agg(F.sort_array(F.collect_list(F.struct("b", "x"))).alias("t"))
+    return bytes(table.select(F.unhex(F.array_join("t.x", "")).alias("t")).first()["t"])
 
 
 def rare_keys(classes: DataFrame, least: float) -> DataFrame:
