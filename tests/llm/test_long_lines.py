@@ -1,4 +1,4 @@
-"""Candidates of line dedup."""
+"""Lines of many words, and candidates of line dedup."""
 
 import random
 from collections import Counter
@@ -8,6 +8,74 @@ from pyspark.sql import functions as F
 from tidewater.llm import common, lines
 
 
+def seen_pairs(monkeypatch):
+    """A list that gets the number of pairs of each call of `linked`."""
+    counts, own = [], lines.linked
+
+    def linked(classes, pairs, least):
+        counts.append(pairs.distinct().count())
+        return own(classes, pairs, least)
+
+    monkeypatch.setattr(lines, "linked", linked)
+    return counts
+
+
+def distance(a, b):
+    prev = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row = [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(prev[j] + 1, row[-1] + 1, prev[j - 1] + (x != y)))
+        prev = row
+    return prev[-1]
+
+
+def dropped(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    return {r["id"] for r in lines.dropped_lines(df, whole=True).collect()}
+
+
+def test_unrelated_long_lines_that_share_a_rare_pair_are_no_candidates(spark, monkeypatch):
+    random.seed(1)
+    words = [f"w{i}x" for i in range(200)]
+    texts = [" ".join(random.choices(words, k=200) + ["rare", "pair"] + random.choices(words, k=200)) for _ in range(24)]
+    counts = seen_pairs(monkeypatch)
+    assert dropped(spark, texts) == set()
+    assert sum(counts) == 0
+
+
+def test_words_that_only_the_longer_line_can_have_are_edits(spark, monkeypatch):
+    # 9 words changed and 4 more in 60: 13 edits of 12 allowed, 22 tokens of 24.
+    words = [f"a{i}x" for i in range(60)]
+    other = [f"b{i}x" if 20 <= i < 29 else w for i, w in enumerate(words[:56])]
+    counts = seen_pairs(monkeypatch)
+    assert dropped(spark, [" ".join(words), " ".join(other)]) == set()
+    assert sum(counts) == 0
+
+
+def test_long_lines_against_brute_force(spark):
+    random.seed(3)
+    vocabulary = [f"v{i}x" for i in range(400)]
+    texts = []
+    for n in (130, 155, 165, 190, 300):
+        base = random.choices(vocabulary, k=n)
+        for share in (0, 0.1, 0.17, 0.19, 0.21, 0.24):
+            t, edits = list(base), int(share * n)
+            for i in sorted(random.sample(range(n), edits), reverse=True):
+                kind = random.randrange(3)
+                t[i : i + 1] = [[], [random.choice(vocabulary)], [t[i], random.choice(vocabulary)]][kind]
+            texts.append(t)
+    group = list(range(len(texts)))
+    for i, a in enumerate(texts):
+        for j, b in enumerate(texts[:i]):
+            if distance(a, b) <= int(0.2 * max(len(a), len(b)) + 1e-9):
+                old, new = max(group[i], group[j]), min(group[i], group[j])
+                group = [new if g == old else g for g in group]
+    want = {i for i, g in enumerate(group) if g != i}
+    assert 5 < len(want) < len(texts) - 5
+    assert dropped(spark, [" ".join(t) for t in texts]) == want
+
+
 def test_word_ranks_count_all_lines(spark, monkeypatch):
     monkeypatch.setattr(lines, "SAMPLE_WORDS", 10, raising=False)
     monkeypatch.setattr(lines, "COUNTERS", 64)

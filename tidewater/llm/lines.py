@@ -12,10 +12,10 @@ out of their documents.
 SimHash reaches few of the pairs at `least`, as one changed word of a short line flips many bits. With `whole`, which the
 queries set, an exact join finds the rest: a line of n words and one within the similarity share one of the
 floor(2 (1 - least) n) + 1 rarest pairs of adjacent words of each, as an edit breaks two such pairs at most. Rarity is
-that of the two words, read from COUNTERS counters over the words of all lines; any order gives the same links. SimHash has joined the large groups by
-then, and lines of one group are not compared again. Candidates whose words, repeats told apart,
-differ in more bits of a parity sketch than the edits allowed can flip fall inside the join; lines of over TOKENS words have
-no such sketch. With `whole`, lines of fewer than `min_words` words
+that of the two words, read from COUNTERS counters over the words of all lines; any order gives the same links. Every line meets
+the ends of its keys, as those of its SimHash buckets, and lines of one group are not compared again. Candidates whose words, repeats told apart,
+differ in more bits of a parity sketch than the edits allowed can flip at these lengths fall inside the join; lines of over TOKENS words have
+no such sketch. Lines of LONG words or more, which fill it, have one of WIDE longs beside. With `whole`, lines of fewer than `min_words` words
 take part too, as exact copies only.
 
 More blocks make longer join keys, so the number of blocks follows the number of classes; the pairs found do not depend
@@ -29,6 +29,7 @@ Lines of any length take part: SimHash counters of 8, 16 or 64 bits are chosen b
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 from itertools import combinations
 
@@ -45,7 +46,10 @@ COUNTERS = 1 << 18
 SLICES = 3
 PARITY = 4
 TOKENS = 4096
+WIDE = 16
+LONG = 160
 PARITIES = [f"p{j}" for j in range(PARITY)]
+SKETCH = [*PARITIES, "wide"]
 UNSPACED = r"([\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}])"
 
 
@@ -63,20 +67,14 @@ def lane_counts(h: Column, lane: int) -> list[Column]:
     return [F.shiftrightunsigned(h, j).bitwiseAND(ones) for j in range(lane)]
 
 
-def packed_simhash(hashes: Column, lane: int) -> Column:
-    """Bit i is set where more than half of the hashes have it set; of fewer than 2 ** (lane - 1) hashes, so that no counter runs over."""
+def majority(n: Column, lane: int, counter: Callable[[int], Column]) -> Column:
+    """Bit i is set where more than half of n hashes have it set, by the counters of `lane_counts`; n < 2 ** (lane - 1), so that none runs over."""
     ones, half = sum(1 << i for i in range(0, 64, lane)), (1 << (lane - 2)) - 1
-    none = F.struct(*[F.lit(0).cast("long").alias(f"c{j}") for j in range(lane)])
-    counts = F.aggregate(hashes, none, lambda a, h: F.struct(*[(a[f"c{j}"] + x).alias(f"c{j}") for j, x in enumerate(lane_counts(h, lane))]))
-
-    def majority(c: Column) -> Column:
-        bits = F.lit(0).cast("long")
-        for j in range(lane):
-            over = (c[f"c{j}"] + (F.lit(half).cast("long") - F.floor(F.size(hashes) / 2)) * F.lit(ones)).bitwiseAND(F.lit(ones << (lane - 2)))
-            bits = bits.bitwiseOR(F.shiftleft(F.shiftrightunsigned(over, lane - 2), j))
-        return bits
-
-    return bound(counts, majority)
+    bits = F.lit(0).cast("long")
+    for j in range(lane):
+        over = (counter(j) + (F.lit(half).cast("long") - F.floor(n / 2)) * F.lit(ones)).bitwiseAND(F.lit(ones << (lane - 2)))
+        bits = bits.bitwiseOR(F.shiftleft(F.shiftrightunsigned(over, lane - 2), j))
+    return bits
 
 
 def wide_simhash(hashes: Column) -> Column:
@@ -97,38 +95,30 @@ def long_simhash(words: Column) -> Column:
     return wide_simhash(F.transform(words, lambda w: F.xxhash64(F.hash(w))))
 
 
-def simhash(hashes: Column) -> Column:
-    n = F.size(hashes)
-    return F.when(n < 1 << 7, packed_simhash(hashes, 8)).when(n < 1 << 15, packed_simhash(hashes, 16)).otherwise(wide_simhash(hashes))
-
-
-def parity(hashes: Column) -> Column:
-    """A struct of PARITY longs, in which each hash flips one bit."""
-
-    def flip(a: Column, h: Column) -> Column:
-        bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(h, 50).bitwiseAND(F.lit(63).cast("long")).cast("int"))
-        own = F.shiftrightunsigned(h, 48).bitwiseAND(F.lit(PARITY - 1).cast("long"))
-        return F.struct(*[F.when(own == j, a[p].bitwiseXOR(bit)).otherwise(a[p]).alias(p) for j, p in enumerate(PARITIES)])
-
-    return F.aggregate(hashes, F.struct(*[F.lit(0).cast("long").alias(p) for p in PARITIES]), flip)
-
-
-def tokens(h: Column) -> Column:
-    """Hashes of the words and how often each came before in the line, so that repeats are different tokens."""
-
-    def numbered(s: Column) -> Column:
-        return F.transform(s, lambda w, i: F.when(F.coalesce(F.get(s, i - 1) == w, F.lit(False)), F.xxhash64(w, i + 1 - F.array_position(s, w))).otherwise(F.xxhash64(w)))
-
-    return bound(F.sort_array(h), numbered)
-
-
 def sketched(rows: DataFrame) -> DataFrame:
-    """Rows with the word hashes `h`: with `sim` of their distinct words, and the parities of their tokens up to TOKENS words."""
-    # Made once, in an array's function: as columns of their own they would be worked out again wherever they are used.
-    sim = bound(F.transform(F.array_distinct("h"), lambda w: F.xxhash64(w)), simhash)
-    flipped = bound(F.when(F.size("h") <= TOKENS, tokens(F.col("h"))).otherwise(F.array().cast("array<long>")), parity)
-    both = F.struct(sim.alias("sim"), flipped.alias("p"))
-    return rows.withColumn("_x", F.explode(F.array(both))).select(*rows.columns, "_x.sim", "_x.p.*")
+    """Rows, equal ones once, with the word hashes `h`: with `sim` of their distinct words, and the parities of their tokens.
+
+    A token is a word and how often it came before in the line, so that repeats are different tokens. Each flips one bit of
+    PARITY longs, and of WIDE longs in lines of LONG words or more; lines of over TOKENS words have neither. Words are counted as rows, in the partitions that rows are in if
+    these are by some of their columns.
+    """
+    most, zero = 1 << 15, F.lit(0).cast("long")
+    words = rows.withColumn("_s", F.sort_array("h")).select(*rows.columns, "_s", F.posexplode("_s").alias("_i", "_w"))
+    again = F.coalesce(F.get("_s", F.col("_i") - 1) == F.col("_w"), F.lit(False))
+    token = F.when(again, F.xxhash64("_w", F.col("_i") + 1 - F.array_position("_s", F.col("_w")))).otherwise(F.xxhash64("_w"))
+    words = words.select(*rows.columns, (~again).alias("_new"), token.alias("_t"))
+    counted = F.col("_new") & (F.size("h") < most)
+    sums = [F.sum(F.when(counted, x).otherwise(zero)).alias(f"c{j}") for j, x in enumerate(lane_counts(F.col("_t"), 16))]
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned("_t", 50).bitwiseAND(F.lit(63).cast("long")).cast("int"))
+    # Two bits choose the long of the narrow sketch, two more the part of the wide one that is added up to it.
+    narrow, part = (F.shiftrightunsigned("_t", i).bitwiseAND(F.lit(3).cast("long")) for i in (48, 56))
+    own = F.when(F.size("h") <= TOKENS, narrow + part * PARITY)
+    flips = [F.bit_xor(F.when(own == j, bit).otherwise(zero)).alias(f"w{j}") for j in range(WIDE)]
+    found = words.groupBy(*rows.columns).agg(*sums, F.count_if("_new").alias("_n"), *flips)
+    sim = F.when(F.size("h") < most, majority(F.col("_n"), 16, lambda j: F.col(f"c{j}"))).otherwise(wide_simhash(F.transform(F.array_distinct("h"), lambda w: F.xxhash64(w))))
+    folded = [reduce(Column.bitwiseXOR, [F.col(f"w{i}") for i in range(j, WIDE, PARITY)]).alias(p) for j, p in enumerate(PARITIES)]
+    wide = F.when(F.size("h").between(LONG, TOKENS), F.array(*[F.col(f"w{j}") for j in range(WIDE)])).alias("wide")
+    return found.select(*rows.columns, sim.alias("sim"), *folded, wide)
 
 
 def scheme(classes: int) -> tuple[int, int]:
@@ -229,18 +219,24 @@ def shared_keys(classes: DataFrame, least: float) -> DataFrame:
 
 
 def allowed(a: str, b: str, least: float) -> Column:
-    """What roots, lengths and parities of two sides allow; columns are named by a prefix and a suffix."""
+    """What roots, lengths and parities of two sides allow; columns are named by a prefix and a suffix.
+
+    The tokens that only one line has are at least as many as the bits that differ, and those of the longer line exceed
+    those of the shorter by the difference of lengths; the edits are at least as many as either.
+    """
     of = lambda c: (F.col(a.format(c)), F.col(b.format(c)))
     longer, shorter = F.greatest(*of("len")), F.least(*of("len"))
-    flips = sum((F.bit_count(x.bitwiseXOR(y)) for x, y in map(of, PARITIES)), F.lit(0))
-    ra, rb = of("root")
-    apart = flips > 2 * F.floor(longer * F.lit(1 - least) + F.lit(1e-9))
-    return (ra != rb) & (shorter >= longer * F.lit(least) - F.lit(1e-9)) & ~(apart & (longer <= TOKENS))
+    flips = lambda pairs: sum((F.bit_count(x.bitwiseXOR(y)) for x, y in pairs), F.lit(0))
+    (ra, rb), (wa, wb) = of("root"), of("wide")
+    most = 2 * F.floor(longer * F.lit(1 - least) + F.lit(1e-9)) - (longer - shorter)
+    apart = (flips(map(of, PARITIES)) > most) & (longer <= TOKENS)
+    far = F.when(wa.isNotNull() & wb.isNotNull(), flips((F.get(wa, i), F.get(wb, i)) for i in range(WIDE)) > most).otherwise(F.lit(False))
+    return (ra != rb) & (shorter >= longer * F.lit(least) - F.lit(1e-9)) & ~apart & ~far
 
 
 def met_ends(every: DataFrame, least: float) -> DataFrame:
     """Pairs (a, b) of the smallest and the largest line of each key with its others, which are all pairs of keys of three."""
-    one, of_key = F.struct("line", "len", "root", *PARITIES), Window.partitionBy("k")
+    one, of_key = F.struct("line", "len", "root", *SKETCH), Window.partitionBy("k")
     met = every.repartition("k").withColumn("lo", F.min(one).over(of_key)).withColumn("hi", F.max(one).over(of_key))
     met = met.withColumn("o", F.explode(F.array("lo", "hi"))).drop("lo", "hi")
     return met.where(allowed("{}", "o.{}", least)).select(F.least("line", "o.line").alias("a"), F.greatest("line", "o.line").alias("b")).distinct()
@@ -248,33 +244,31 @@ def met_ends(every: DataFrame, least: float) -> DataFrame:
 
 def alike(every: DataFrame, least: float) -> DataFrame:
     """Pairs (a, b) of a shared key and different roots that lengths and parities do not rule out."""
-    a, b = [every.select("k", *[F.col(c).alias(f"{c}_{s}") for c in ("line", "len", "root", *PARITIES)]) for s in "ab"]
+    a, b = [every.select("k", *[F.col(c).alias(f"{c}_{s}") for c in ("line", "len", "root", *SKETCH)]) for s in "ab"]
     return a.join(b, "k").where(allowed("{}_a", "{}_b", least)).select(F.least("line_a", "line_b").alias("a"), F.greatest("line_a", "line_b").alias("b")).distinct()
 
 
 def rooted(classes: DataFrame, roots: DataFrame, *more: str) -> DataFrame:
+    """(line, len, more columns, root) of all classes."""
     return classes.join(roots, F.col("line") == F.col("node"), "left").select("line", "len", *more, F.coalesce("root", "line").alias("root"))
 
 
-def widened(classes: DataFrame, links: DataFrame, roots: DataFrame, least: float) -> DataFrame:
-    """(node, root) with the links that SimHash misses: the ends of each key first, then keys that hold several groups.
+def widened(classes: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
+    """(node, root) with the links that SimHash's `pairs` miss: the ends of each key first, then keys that hold several groups.
 
     The keys meet in SLICES parts, one after the other, so that the disks hold the shuffle of one part only.
     """
-    keys, parts = shared_keys(classes, least), []
-    every = keys.join(rooted(classes, roots, *PARITIES), "line")
+    keys, parts = shared_keys(classes, least), [pairs]
+    every = keys.join(classes.select("line", "len", *SKETCH, F.col("line").alias("root")), "line")
     for i in range(SLICES):
         parts.append(cut(met_ends(every.where(F.pmod("k", F.lit(SLICES)) == i), least)))
-    pairs = cut(reduce(DataFrame.unionByName, parts).distinct())
-    if pairs.limit(1).count():
-        links = cut(links.unionByName(linked(classes, pairs, least)))
-        roots = components(links)
-    large = keys.where("c > 3").join(rooted(classes, roots, *PARITIES), "line")
+    links = cut(linked(classes, reduce(DataFrame.unionByName, parts).distinct(), least))
+    roots = components(links)
+    large = keys.where("c > 3").join(rooted(classes, roots, *SKETCH), "line")
     still = large.groupBy("k").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 < r2").select("k")
     pairs = cut(alike(large.join(still, "k"), least))
-    if pairs.limit(1).count():
-        roots = components(cut(links.unionByName(linked(classes, pairs, least))))
-    return roots
+    more = cut(linked(classes, pairs, least))
+    return components(links.unionByName(more)) if more.limit(1).count() else roots
 
 
 def stars(classes: DataFrame, blocks: int, taken: int, least: float) -> DataFrame:
@@ -299,10 +293,10 @@ def groups(classes: DataFrame, least: float, whole: bool = False) -> DataFrame:
     """
     blocks, taken = scheme(classes.count())
     pairs = cut(stars(classes, blocks, taken, least))
+    if whole:
+        return widened(classes, pairs, least)
     links = cut(linked(classes, pairs, least))
     roots = components(links)
-    if whole:
-        return widened(classes, links, roots, least)
     rest = keyed(rooted(classes, roots, "sim"), blocks, taken)
     open_k = rest.groupBy("k").agg(F.count("*").alias("c"), F.min("root").alias("r1"), F.max("root").alias("r2")).where((F.col("c") > 3) & (F.col("r1") < F.col("r2"))).select("k")
     rest = rest.join(open_k, "k", "left_semi")
@@ -321,18 +315,18 @@ def linked(classes: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
     """The pairs that the edit similarity confirms.
 
     What one line has and the other lacks bounds the edits from below at little cost. The distance is that of strings of one
-    code point for each word, by two codes of its hash, both of which have to agree.
+    code point for each word, by two codes of its hash, both of which have to agree. Codes are made once a line.
     """
     ends = pairs.select(F.explode(F.array("a", "b")).alias("line")).distinct()
-    words = classes.join(ends, "line", "left_semi").select("line", "h")
-    both = pairs.join(words.select(F.col("line").alias("a"), F.col("h").alias("ha")), "a").join(words.select(F.col("line").alias("b"), F.col("h").alias("hb")), "b")
-    both = both.withColumn("most", F.floor(F.greatest(F.size("ha"), F.size("hb")) * F.lit(1 - least) + F.lit(1e-9)).cast("int"))
-    few = (F.size(F.array_except("ha", "hb")) <= F.col("most")) & (F.size(F.array_except("hb", "ha")) <= F.col("most"))
+    words = classes.join(ends, "line", "left_semi").select("line", F.struct("h", coded(F.col("h"), 0).alias("c0"), coded(F.col("h"), 1).alias("c1")).alias("x"))
+    both = pairs.join(words.select(F.col("line").alias("a"), F.col("x").alias("xa")), "a").join(words.select(F.col("line").alias("b"), F.col("x").alias("xb")), "b")
+    both = both.withColumn("most", F.floor(F.greatest(F.size("xa.h"), F.size("xb.h")) * F.lit(1 - least) + F.lit(1e-9)).cast("int"))
+    few = (F.size(F.array_except("xa.h", "xb.h")) <= F.col("most")) & (F.size(F.array_except("xb.h", "xa.h")) <= F.col("most"))
 
-    def close(seed: int) -> Column:
-        return F.call_function("levenshtein", coded(F.col("ha"), seed), coded(F.col("hb"), seed), F.col("most")) >= 0
+    def close(code: str) -> Column:
+        return F.call_function("levenshtein", F.col(f"xa.{code}"), F.col(f"xb.{code}"), F.col("most")) >= 0
 
-    return both.where(F.when(few, F.when(close(0), close(1)).otherwise(F.lit(False))).otherwise(F.lit(False))).select("a", "b")
+    return both.where(F.when(few, F.when(close("c0"), close("c1")).otherwise(F.lit(False))).otherwise(F.lit(False))).select("a", "b")
 
 
 def dropped_lines(docs: DataFrame, least: float = LEAST, min_words: int = MIN_WORDS, whole: bool = False) -> DataFrame:
