@@ -7,11 +7,15 @@ import math
 import re
 import tempfile
 import time
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+last_trim = float("-inf")
+
 # Byte tables: ASCII letters lower-cased; LOWER keeps the rest, ALNUM turns every other ASCII byte into a space.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 ALNUM = bytes(LOWER[b] if LOWER[b] >= 128 or 48 <= LOWER[b] <= 57 or 97 <= LOWER[b] <= 122 else 32 for b in range(256))
@@ -52,15 +56,80 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """The same rows, as `cut` gives them, but in Parquet: much smaller than a checkpoint where values repeat, and read by column.
+
+    The files stay until `dropped` takes them away.
+    """
+    spark = df.sparkSession
+    shared_dir(spark)
+    release(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4()}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def dropped(df: DataFrame) -> None:
+    """Take away the files of a table that `stored` made, when nothing reads them any more."""
+    jvm = df.sparkSession.sparkContext._jvm
+    for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        at = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(path))
+        at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def release(spark: SparkSession) -> None:
     """Let go of the shuffle files of plans that nothing refers to any more.
 
-    The first collection of the driver's JVM frees what holds the plans, only the next finds the shuffles free.
+    Python's end of a plan tells the JVM that it is gone by a queue, which a thread looks into once a second only; what waits
+    there is passed on first, or the JVM would hold the plan for the whole step to come. The first collection of the driver's
+    JVM frees what holds the plans, only the next finds the shuffles free.
     """
     gc.collect()
+    passed_on(spark)
     for _ in range(2):
         spark.sparkContext._jvm.System.gc()
         time.sleep(0.05)
+    trimmed(spark)
+
+
+def trimmed(spark: SparkSession, every: float = 5.0) -> None:
+    """Give the memory that the C library of the driver's JVM keeps free back to the system, every few seconds at most.
+
+    The JVM's compiler and codecs take and free much of it; it is kept for each thread and adds to the driver's memory.
+    JVMs without that command go on as they are.
+    """
+    global last_trim
+    if time.monotonic() - last_trim < every:
+        return
+    sc = spark.sparkContext
+    jvm, array = sc._jvm, sc._gateway.new_array
+    try:
+        server = jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer()
+        kinds = ["javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;"]
+        types, given = array(jvm.java.lang.Class, len(kinds)), array(jvm.java.lang.Object, len(kinds))
+        for i, kind in enumerate(kinds):
+            types[i] = jvm.java.lang.Class.forName(kind)
+        given[0], given[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        # The server's class is not open to py4j, its interface is.
+        jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethod("invoke", types).invoke(server, given)
+    except Py4JError:
+        pass
+    last_trim = time.monotonic()
+
+
+def passed_on(spark: SparkSession) -> None:
+    """Tell the JVM now of all objects that Python has let go of."""
+    queue = getattr(spark.sparkContext._gateway._gateway_client, "finalizer_deque", None)
+    while queue:
+        try:
+            task = queue.pop()
+        except IndexError:  # the thread was faster
+            return
+        if not isinstance(task, tuple):  # its order to end
+            queue.append(task)
+            return
+        client, target = task
+        client.garbage_collect_object(target, False)
 
 
 def bound(value: Column, use: Callable[[Column], Column]) -> Column:

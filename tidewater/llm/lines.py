@@ -36,7 +36,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bound, components, cut
+from .common import bound, components, cut, dropped, stored
 
 RADIUS = 3
 LEAST = 0.8
@@ -163,10 +163,11 @@ def classes_of(docs: DataFrame, min_words: int) -> tuple[DataFrame, DataFrame |
     clashing = None
     while True:
         grouped = placed_lines(docs, min_words, clashing).groupBy("line").agg(F.first("norm").alias("norm"), F.count("*").alias("c"), F.min("line2").alias("x"), F.max("line2").alias("y"))
-        out = cut(sketched(with_words(grouped)))
+        out = stored(sketched(with_words(grouped)))
         if clashing is not None or not out.where("x <> y").limit(1).count():
             return out.where("x = y").drop("x", "y"), clashing
         clashing = cut(out.where("x <> y").select("line"))
+        dropped(out)
 
 
 def keyed(classes: DataFrame, blocks: int, taken: int) -> DataFrame:
@@ -336,6 +337,7 @@ def dropped_lines(docs: DataFrame, least: float = LEAST, min_words: int = MIN_WO
     roots = groups(classes.where(F.col("len") >= min_words), least, whole)
     place = F.struct("id", "th", "place")
     shared = cut(classes.join(roots, F.col("line") == F.col("node"), "left").where("c > 1 or root is not null").select("line", F.coalesce("root", "line").alias("g")))
+    dropped(classes)
     rows = cut(placed_lines(docs, least_words, clashing).select("id", "th", "place", "line").join(shared, "line").select("id", "th", "place", "g"))
     first = rows.groupBy("g").agg(F.min(place).alias("keep"))
     out = rows.join(first, "g").where(~place.eqNullSafe(F.col("keep")))
