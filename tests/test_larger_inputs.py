@@ -2,9 +2,26 @@
 
 import datetime as dt
 
+import duckdb
 from pyspark.sql import functions as F
 
 from tidewater.operators import context
+from tidewater.plans.catalogue import QUERIES, SQL
+
+
+def sums(spark, name, path):
+    """Rows by all but event ids, with how many there are and the sum of the ids."""
+    df = QUERIES[name](spark, str(path))
+    rest = [c for c in df.columns if c != "event_id"]
+    return sorted(map(repr, map(tuple, df.groupBy(*rest).agg(F.count("*"), F.sum("event_id")).select(*sorted(rest), "count(1)", "sum(event_id)").collect())))
+
+
+def wanted(name, path):
+    con = duckdb.connect()
+    con.execute(f"create view events as select * from '{path}/events.parquet/*.parquet'")
+    rest = sorted(c[0] for c in con.execute(SQL[name]).description if c[0] != "event_id")
+    by = ", ".join(rest)
+    return sorted(map(repr, con.execute(f"select {by}, count(*), sum(event_id)::bigint from ({SQL[name]}) group by {by}").fetchall()))
 
 
 def test_eligibility_of_many_rows_of_series(spark):
@@ -16,3 +33,11 @@ def test_eligibility_of_many_rows_of_series(spark):
     got = {n: sorted(map(tuple, context.eligibility(ev, s).collect())) for n, s in (("few", few), ("many", many))}
     assert got["many"] == got["few"] and len(got["many"]) == 12
     assert ("c", "one", False, "scope does not include this series") in got["many"] and ("c", "all", True, None) in got["many"]
+
+
+def test_eligibility_query_as_its_sql_beyond_100_000_events(spark, tmp_path):
+    types = F.element_at(F.array(*map(F.lit, ("view", "click", "buy"))), (F.col("id") % 3 + 1).cast("int"))
+    at = F.expr("timestamp_ntz '2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, id)")
+    made = spark.range(120_000).select(F.col("id").alias("event_id"), at.alias("ts"), (F.col("id") % 50).alias("user_id"), types.alias("event_type"), F.lit(1.0).alias("value"))
+    made.write.parquet(f"{tmp_path}/events.parquet")
+    assert sums(spark, "event_eligibility", tmp_path) == wanted("event_eligibility", tmp_path)
