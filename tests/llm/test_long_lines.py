@@ -87,3 +87,17 @@ def test_word_ranks_count_all_lines(spark, monkeypatch):
     got = lines.word_ranks(classes)
     assert len(got) == 64
     assert all(1 + n[b] == 1 if got[b] == 0 else 2 ** (got[b] / 8) <= 1 + n[b] + 1e-9 < 2 ** ((got[b] + 1) / 8) + 2e-9 for b in range(64))
+
+
+def test_a_passage_of_many_unlike_lines_is_no_key_of_theirs(spark):
+    random.seed(4)
+    passage, common_words = [f"p{i}q" for i in range(10)], [f"c{i}d" for i in range(20)]
+    texts = []
+    for _ in range(400):
+        own, at = random.choices(common_words, k=30), random.randrange(31)
+        texts.append(" ".join([*own[:at], *passage, *own[at:]]))
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    classes = common.cut(lines.classes_of(df, 1)[0])
+    assert classes.count() == 400
+    # Words of the passage are rarer than the others, its pairs are not.
+    assert lines.shared_keys(classes, 0.8).agg(F.max("c")).first()[0] < 200

@@ -12,7 +12,8 @@ out of their documents.
 SimHash reaches few of the pairs at `least`, as one changed word of a short line flips many bits. With `whole`, which the
 queries set, an exact join finds the rest: a line of n words and one within the similarity share one of the
 floor(2 (1 - least) n) + 1 rarest pairs of adjacent words of each, as an edit breaks two such pairs at most. Rarity is
-that of the two words, read from COUNTERS counters over the words of all lines; any order gives the same links. Every line meets
+that of the pair itself, read from COUNTERS counters over the word pairs of all lines, so that a passage which many unlike lines hold is
+no key of theirs; any order gives the same links. Every line meets
 the ends of its keys, as those of its SimHash buckets, and lines of one group are not compared again. Candidates whose words, repeats told apart,
 differ in more bits of a parity sketch than the edits allowed can flip at these lengths fall inside the join; lines of over TOKENS words have
 no such sketch. Lines of LONG words or more, which fill it, have one of WIDE longs beside. With `whole`, lines of fewer than `min_words` words
@@ -36,13 +37,13 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bound, components, cut, dropped, stored
+from .common import components, cut, dropped, stored
 
 RADIUS = 3
 LEAST = 0.8
 MIN_WORDS = 5
 CODES = 0xC800
-COUNTERS = 1 << 18
+COUNTERS = 1 << 20
 SLICES = 3
 PARITY = 4
 TOKENS = 4096
@@ -183,8 +184,13 @@ def near(a: DataFrame, b: DataFrame, least: float, more: Column) -> DataFrame:
     return a.join(b, "k").where(fits).select(F.least("line_a", "line_b").alias("a"), F.greatest("line_a", "line_b").alias("b")).distinct()
 
 
+def grams(h: str) -> Column:
+    """The hashes of all pairs of adjacent words, repeats too."""
+    return F.transform(F.sequence(F.lit(0), F.size(h) - 2), lambda i: F.xxhash64(F.get(h, i), F.get(h, i + 1)))
+
+
 def word_ranks(classes: DataFrame) -> bytes:
-    """For each of COUNTERS buckets of words 8 log2(1 + n), 127 at most, n being how often they occur in all classes.
+    """For each of COUNTERS buckets of the hashes in `h`, of words or of word pairs, 8 log2(1 + n), 127 at most, n being how often they occur in all classes.
 
     The table is put together in one task, so that the driver gets one value.
     """
@@ -199,17 +205,13 @@ def word_ranks(classes: DataFrame) -> bytes:
 def rare_keys(classes: DataFrame, least: float) -> DataFrame:
     """(line, k): the rarest word pairs of every class."""
     # One binary value, which no row has to carry.
-    ranks = F.lit(word_ranks(classes))
-    rank = lambda w: F.ascii(F.substring(ranks, F.pmod(w, F.lit(COUNTERS)) + 1, F.lit(1)).cast("string"))
-
-    def ranked(r: Column) -> Column:
-        # The rank goes into the top of the hash, so that plain numbers are sorted.
-        gram = F.transform(F.sequence(F.lit(0), F.size("h") - 2), lambda i: F.xxhash64(F.get("h", i), F.get("h", i + 1)).bitwiseAND(F.lit((1 << 55) - 1)).bitwiseOR(F.shiftleft((F.get(r, i) + F.get(r, i + 1)).cast("long"), 55)))
-        return F.sort_array(F.array_distinct(gram))
-
+    ranks = F.lit(word_ranks(classes.select(grams("h").alias("h"))))
+    rank = lambda g: F.ascii(F.substring(ranks, F.pmod(g, F.lit(COUNTERS)).cast("int") + 1, F.lit(1)).cast("string"))
+    # The rank goes into the top of the hash, so that plain numbers are sorted.
+    ranked = F.transform(grams("h"), lambda g: g.bitwiseAND(F.lit((1 << 55) - 1)).bitwiseOR(F.shiftleft(rank(g).cast("long"), 55)))
     # Of a line's pairs, repeats count too: without them the prefix is a longer part of the rest, never a shorter one.
     size = F.floor(F.col("len") * F.lit(2 * (1 - least)) + F.lit(1e-9)).cast("int") + 1
-    return classes.select("line", F.explode(F.slice(bound(F.transform("h", rank), ranked), F.lit(1), size)).alias("k"))
+    return classes.select("line", F.explode(F.slice(F.sort_array(F.array_distinct(ranked)), F.lit(1), size)).alias("k"))
 
 
 def shared_keys(classes: DataFrame, least: float) -> DataFrame:
